@@ -1,0 +1 @@
+"""canopyloom.streaming"""
