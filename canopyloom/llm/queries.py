@@ -4,13 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyloom.llm import packing
+from canopyloom.llm import attribution, lines, neardup, packing, warc, wavelet
 from canopyloom.llm.tables import table, tokenizer_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+
+
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+), totals AS (
+  SELECT source, count(*) AS pages FROM documents GROUP BY source
+), common AS (
+  SELECT l.source, trim(l.line) AS line FROM lines l JOIN totals t USING (source)
+  WHERE trim(l.line) <> '' GROUP BY l.source, trim(l.line), t.pages
+  HAVING count(DISTINCT doc_id) > 0.05 * t.pages AND t.pages >= 20
+)
+SELECT d.doc_id, d.source,
+  coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.pos) FROM lines l
+            WHERE l.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM common c WHERE c.source = l.source AND c.line = trim(l.line))), '') AS text
+FROM documents d
+"""
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM q
+"""
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return attribution.attribute(docs, tokenizer_path("byte_bpe_50k.json"), fields=("lang", "source", "text"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op5_packing": op5_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op4_token_counts, op5_packing, op8_wavelet, op9_minhash)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
