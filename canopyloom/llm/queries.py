@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canopyloom.llm import attribution, lines, neardup, packing, warc, wavelet
+from canopyloom.llm import attribution, decontam, lines, neardup, packing, quality, warc, wavelet
 from canopyloom.llm.tables import table, tokenizer_path
 
 
@@ -46,6 +47,13 @@ FROM q
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return attribution.attribute(docs, tokenizer_path("byte_bpe_50k.json"), fields=("lang", "source", "text"))
@@ -55,6 +63,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -63,5 +75,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op4_token_counts, op5_packing, op8_wavelet, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op8_wavelet, op9_minhash)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
