@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyloom.llm import attribution, decontam, lines, neardup, packing, quality, warc, wavelet
+from canopyloom.llm import attribution, decontam, lines, maintext, neardup, packing, quality, warc, wavelet
 from canopyloom.llm.tables import table, tokenizer_path
 
 
@@ -67,6 +67,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -75,5 +79,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op8_wavelet, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op7_main_text, op8_wavelet, op9_minhash)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
