@@ -169,11 +169,8 @@ def find(
     """One row of SCHEMA for each pair of a document and an item found in it."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
-    parts = 1 + size // block_bytes
     out = None
-    for part in range(parts):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()]  # about block_bytes
+    for rows in item_blocks(items, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(rows)
 
         def task(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -187,20 +184,39 @@ def find(
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", k: int = 5, radius: int = 20, threshold: float = 0.8) -> DataFrame:
-    """``docs``, all columns, without the rows in which an item is found; nothing is shuffled."""
-    items = benchmark.select(F.lit(0).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The rows (id, text) in blocks of about ``block_bytes``; one block if they fit."""
     size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
-    parts = 1 + size // (16 << 20)
+    parts = 1 + size // block_bytes
     for part in range(parts):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()]
-        held = docs.sparkSession.sparkContext.broadcast(rows)
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()]
+
+
+def clean_udf(held, k: int, radius: int, threshold: float):
+    """A column function: whether a text holds none of the broadcast items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Items(held.value, k, radius)
+        for b in batches:
+            yield pd.Series([not known.search(t, threshold) for t in b], dtype=bool)
+
+    return clean
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            known = Items(held.value, k, radius)
-            for b in batches:
-                yield pd.Series([not known.search(t, threshold) for t in b], dtype=bool)
 
-        docs = docs.filter(clean(F.col(f"`{text_col}`")))
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    k: int = 5,
+    radius: int = 20,
+    threshold: float = 0.8,
+    block_bytes: int = 16 << 20,
+    text_col: str = "text",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``docs``, all columns, without the rows in which an item is found; nothing is shuffled."""
+    items = benchmark.select(F.lit(0).cast("long").alias("id"), F.col(item_text_col).alias("text"))
+    for rows in item_blocks(items, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(rows)
+        docs = docs.filter(clean_udf(held, k, radius, threshold)(F.col(f"`{text_col}`")))
     return docs
