@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyloom.llm import attribution, decontam, lines, maintext, neardup, packing, quality, warc, wavelet
+from canopyloom.llm import attribution, decontam, lines, maintext, neardup, nndescent, packing, quality, warc, wavelet
 from canopyloom.llm.tables import table, tokenizer_path
 
 
@@ -79,5 +79,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op7_main_text, op8_wavelet, op9_minhash)}
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nndescent.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op7_main_text, op8_wavelet, op9_minhash, op10_nn_descent)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
