@@ -193,35 +193,37 @@ def stars(rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 600) -> DataFrame:
     """Candidate edges (a < b) between different components of a bucket, by signature, in blocks.
 
     A bucket of m members is dealt over ceil(m / block) blocks and compared block by
-    block, so no task holds more than two blocks of it. A pair is kept whose
-    signatures agree in at least the threshold less 0.2 of the bins: over four
-    standard deviations below.
+    block, so no task holds more than two blocks of it. A pair comes from the first
+    band that it shares. It is kept if its sizes allow the threshold and its
+    signatures agree in all but 4.5 standard deviations of the threshold's bins.
+    sigs: (id, n, sig).
     """
     members = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members, "members")
     buckets = members.groupBy("band", "hash").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     buckets = cut(buckets.select("band", "hash", F.ceil(F.col("m") / block).cast("int").alias("parts")), "buckets")
-    dealt = members.join(buckets, ["band", "hash"]).withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
+    dealt = members.join(buckets, ["band", "hash"]).join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.select("band", "hash", "id", "label", "part", other.alias("other"))
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    dealt = dealt.join(sigs, "id").select("band", "hash", "i", "j", "id", "label", "part", "sig")
-    least = percent / 100 - 0.2
+    dealt = dealt.select("band", "hash", "id", "label", "n", "sig", "part", other.alias("other"))
+    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BINS)
-        ids, lab, part = (group[c].to_numpy() for c in ("id", "label", "part"))
-        one = group["i"].iat[0] == group["j"].iat[0]
+        ids, lab, part, n = (group[c].to_numpy() for c in ("id", "label", "part", "n"))
+        one, band = group["i"].iat[0] == group["j"].iat[0], group["band"].iat[0]
         found = []
         for k in range(len(group)):
-            against = np.flatnonzero((lab != lab[k]) & (ids > ids[k]) & (True if one else part != part[k]))
+            fits = (lab != lab[k]) & (ids > ids[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            against = np.flatnonzero(fits if one else fits & (part != part[k]))
             if len(against):
-                near = against[(sig[against] == sig[k]).mean(1) >= least]
-                found += [(ids[k], x) for x in ids[near]]
+                same = sig[against] == sig[k]
+                least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n[against], n[k])))
+                first = same.reshape(-1, BANDS, ROWS).all(2)[:, : band + 1].argmax(1) == band
+                found += [(ids[k], x) for x in ids[against[first & (same.mean(1) >= least)]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("band", "hash", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -239,13 +241,13 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(sketch(docs, shingle), "sketch")
     classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = cut(sketched.join(classes, (sketched.doc_id == classes.id) & (sketched.set_key == classes.set_key), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").distinct(), "reps")
+    reps = cut(sketched.join(classes, (sketched.doc_id == classes.id) & (sketched.set_key == classes.set_key), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig").distinct(), "reps")
     rows = reps.select("id", F.posexplode("bands").alias("band", "hash"))
     rows = cut(rows, "bands")
     labels, links, sets = None, None, None
     tried = None
     for turn in range(star_rounds + 1):
-        cand = stars(rows, labels, turn) if turn < star_rounds else across(rows, labels, reps.select("id", "sig"), percent)
+        cand = stars(rows, labels, turn) if turn < star_rounds else across(rows, labels, reps.select("id", "n", "sig"), percent)
         if tried is not None:
             cand = cand.join(tried, ["a", "b"], "left_anti")
         cand = cut(cand, "candidates")
