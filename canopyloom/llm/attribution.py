@@ -25,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,22 +106,21 @@ def attribute(
     schema = "doc_id long, field string, line int, n_bytes long, n_chars long, n_tokens double, crossing long"
     names = list(fields)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from canopyloom.llm.pieces import PieceEncoder
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from canopyloom.llm.pieces import arrow, columns, encoder
 
-        encoder = PieceEncoder(tokenizer, "spaces", 4)
-        vocab = encoder.tokenizer.get_vocab(with_added_tokens=True)
+        codec = encoder(tokenizer, "spaces", 2)
+        vocab = codec.tokenizer.get_vocab(with_added_tokens=True)
         size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             size[i] = len(token)  # one sign a byte
         waiting: deque = deque()
 
         def texts():
-            for b in batches:
-                for row in b.itertuples(index=False, name=None):
-                    own = [x if isinstance(x, str) else "" for x in row[1:]]
-                    waiting.append((row[0], own))
-                    yield sep.join(own)
+            for key, *own in columns(batches):
+                own = [x or "" for x in own]
+                waiting.append((key, own))
+                yield sep.join(own)
 
         parts: list[tuple] = []
         rows = 0
@@ -128,17 +128,17 @@ def attribute(
         def frame():
             cols = list(zip(*parts, strict=True))
             ids = np.repeat(np.array(cols[0], object), [len(x) for x in cols[2]])
-            return pd.DataFrame({
+            return arrow(pd.DataFrame({
                 "doc_id": pd.array(ids, "Int64"), "field": np.array(names, object)[np.concatenate(cols[1])],
                 "line": np.concatenate(cols[2]), "n_bytes": np.concatenate(cols[3]), "n_chars": np.concatenate(cols[4]),
                 "n_tokens": np.concatenate(cols[5]), "crossing": np.concatenate(cols[6]),
-            })
+            }), schema)
 
-        for ids in encoder.stream(texts()):
+        for ids in codec.stream(texts()):
             key, own = waiting.popleft()
             field, line, a, b, chars = sections(own, sep, by_line)
             counts, crossing = allocate(np.cumsum(size[ids]), a, b, rule)
-            parts.append((None if pd.isna(key) else int(key), np.array(field), np.array(line, np.int32), b - a, np.array(chars, np.int64), counts, crossing))
+            parts.append((key, np.array(field), np.array(line, np.int32), b - a, np.array(chars, np.int64), counts, crossing))
             rows += len(line)
             if rows > 50_000:
                 yield frame()
@@ -147,4 +147,4 @@ def attribute(
             yield frame()
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(names))]
-    return docs.select(*cols).mapInPandas(task, schema)
+    return docs.select(*cols).mapInArrow(task, schema)

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,25 +145,24 @@ def pack(
     ``ids_crc32`` is over the piece's ids as little-endian unsigned 32-bit integers.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from canopyloom.llm.pieces import PieceEncoder
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from canopyloom.llm.pieces import arrow, columns, encoder
 
-        encoder = PieceEncoder(tokenizer, kind, 2 if end_id < 1 << 16 else 4)
+        codec = encoder(tokenizer, kind, 2 if end_id < 1 << 16 else 4)
         packer = Packer(window, max_slack, pool_tokens, TaskContext.get().partitionId() << 32)
-        end, rows = np.array([end_id], encoder.dtype), []
+        end, rows = np.array([end_id], codec.dtype), []
         keys: deque = deque()
 
         def texts():
-            for b in batches:
-                for k, t in zip(b["doc_id"], b["text"], strict=True):
-                    keys.append(None if pd.isna(k) else int(k))
-                    yield t
+            for k, t in columns(batches):
+                keys.append(k)
+                yield t
 
         def frame():
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            return out.astype({c: "Int64" if c == "doc_id" else "int64" for c in out.columns})
+            return arrow(out.astype({"doc_id": "Int64"}), SCHEMA)
 
-        for ids in encoder.stream(texts()):
+        for ids in codec.stream(texts()):
             for sequence in packer.add(keys.popleft(), np.concatenate([ids, end])):
                 rows += packer.rows(sequence)
             if len(rows) > 20_000:
@@ -172,4 +172,4 @@ def pack(
             rows += packer.rows(sequence)
         yield frame()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(task, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, SCHEMA)

@@ -25,12 +25,13 @@ from __future__ import annotations
 import gc
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 700_000
+MOST = 500_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE = re.compile(f"[{WHITE}]+")
@@ -95,7 +96,7 @@ class PieceEncoder:
         """The ids of every text as bytes; null and empty texts have none."""
         return [x.tobytes() for x in self.stream(texts)]
 
-    def stream(self, texts, chars: int = 6 << 20):
+    def stream(self, texts, chars: int = 3 << 20):
         """An array of ids for one text after the other; memory is bounded by the longest text and ``chars``."""
         block, held = [], 0
         for t in texts:
@@ -154,3 +155,24 @@ class PieceEncoder:
         if any(x in text for x in _ODD_ASCII) or text[0] in " \n" or text[-1] in " \n" or not text.isascii() and _ODD_WIDE.search(text):
             return None
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
+
+
+@lru_cache(2)
+def encoder(path: str, kind: str, width: int) -> PieceEncoder:
+    """One encoder a worker process: its memo outlives the tasks, its size stays bounded."""
+    return PieceEncoder(path, kind, width)
+
+
+def columns(batches, rows: int = 256):
+    """Tuples of the Arrow batches' values, of few rows at a time as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            part = b.slice(i, rows)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def arrow(frame, schema: str) -> pa.RecordBatch:
+    """A pandas frame as an Arrow batch of a schema of long, int, double, string and boolean columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.Array.from_pandas(frame[n], type=kinds[k]) for n, k in fields], names=[n for n, _ in fields])

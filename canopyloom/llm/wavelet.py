@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> Iterator[bytes]
     width, at = max(1, int(ids.max(initial=0)).bit_length()), 0
     planes = []
     for k in range(width - 1, -1, -1):
-        ones = (ids >> k & 1).view(np.uint8 if ids.itemsize == 1 else ids.dtype).astype(bool)
+        ones = (ids & ids.dtype.type(1 << k)) != 0
         packed = np.packbits(ones, bitorder="little")
         blocks, before, seen = [], [], 0
         for i in range(0, len(packed), BLOCK):
@@ -179,7 +180,7 @@ def write(
     tokenizer: str,
     kind: str = "spaces",
     end_id: int = 2,
-    shard_chars: int = 16_000_000,
+    shard_chars: int = 12_000_000,
     file_tokens: int = 12_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -193,18 +194,17 @@ def write(
     mix = F.xxhash64("text")
     ordered = docs.repartitionByRange(1 + chars // shard_chars, F.col("doc_id").asc_nulls_first(), mix).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), mix)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from canopyloom.llm.pieces import PieceEncoder
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from canopyloom.llm.pieces import arrow, columns, encoder
 
-        encoder = PieceEncoder(tokenizer, kind, 2)
-        end, shard, part = np.array([end_id], encoder.dtype), TaskContext.get().partitionId(), 0
+        codec = encoder(tokenizer, kind, 2)
+        end, shard, part = np.array([end_id], codec.dtype), TaskContext.get().partitionId(), 0
         keys: list = []
 
         def texts():
-            for b in batches:
-                for k, t in zip(b["doc_id"], b["text"], strict=True):
-                    keys.append(None if pd.isna(k) else int(k))
-                    yield t
+            for k, t in columns(batches):
+                keys.append(k)
+                yield t
 
         def save(ids, lengths):
             fs, at = open_fs(folder)
@@ -215,10 +215,10 @@ def write(
                 for data in build(np.concatenate(ids), keys[: len(lengths)], lengths):
                     f.write(data)
             del keys[: len(lengths)]
-            return pd.DataFrame([(shard, part, f"{folder}/{name}", len(lengths), n)], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            return arrow(pd.DataFrame([(shard, part, f"{folder}/{name}", len(lengths), n)], columns=[c.split()[0] for c in MANIFEST.split(", ")]), MANIFEST)
 
         held, lengths, n = [], [], 0
-        for ids in encoder.stream(texts()):
+        for ids in codec.stream(texts()):
             held += [ids, end]
             lengths.append(len(ids) + 1)
             n += lengths[-1]
@@ -228,7 +228,7 @@ def write(
         if lengths:
             yield save(held, lengths)
 
-    return cut(ordered.mapInPandas(task, MANIFEST), "wavelet-manifest")
+    return cut(ordered.mapInArrow(task, MANIFEST), "wavelet-manifest")
 
 
 def with_base(manifest: DataFrame, group: int = 1024) -> DataFrame:
