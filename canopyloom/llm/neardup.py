@@ -5,16 +5,15 @@
    each of ``BINS`` ranges); empty bins borrow from a full bin that a fixed random
    sequence names (optimal densification). ``ROWS`` bins make a band.
 3. Within the bucket of a band every member is linked to one centre (a star), so the
-   number of candidate edges is at most bands x classes.
+   number of candidate edges is at most bands x classes. The centre is the member
+   whose buckets are largest, which is an original rather than an edited copy.
 4. Candidates are confirmed on full shingle sets. Connected components follow by
    label propagation with pointer jumping; each round's tables are written to shared
    storage.
-5. A star can miss a link between two members that aren't similar to the centre.
-   So buckets that still hold several components get further stars with other
-   centres (members of the centre's own component are left out), and at last all
-   pairs across components are compared by signature in bounded blocks; what may
-   reach the threshold is confirmed on full sets too. The loop ends when a pass adds
-   no link.
+5. A star can miss a link between two members that aren't similar to the centre. So
+   in buckets that still hold several components, pairs across components are
+   compared in bounded blocks, small sets whole and others by signature. What may
+   reach the threshold is confirmed on full sets too.
 
 Rules: words are runs of characters other than space and U+0009 to U+000D, A-Z in
 lower case. With fewer words than a shingle has, the whole sequence is the one
@@ -38,6 +37,8 @@ from canopyloom.storage import cut, drop, small_side
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 256
+#: Sets of up to so many shingles are compared whole where a signature is too coarse for them.
+FEW = 300
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,8 +101,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sig (16 bits a bin)."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+    """doc_id, n_shingles, set_key (null for an empty set), bands, sig (16 bits a bin), few (32 bits a shingle, of small sets)."""
+    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, few binary"
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -112,10 +113,10 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 s = shingle_set(t, shingle)
                 if len(s):
                     sig = signature(s)
-                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), mix(sig).astype(np.uint16).tobytes()))
+                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), mix(sig).astype(np.uint16).tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= FEW else None))
                 else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sig"])
+                    rows.append((0, None, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sig", "few"])
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
             yield out
 
@@ -175,96 +176,114 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return now
 
 
-def stars(rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate edges (a < b): each bucket's members with its centre, but those that share its component.
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """(band, hash, id, mass) of the buckets with several members; mass: the sizes of all of an id's buckets together."""
+    shared = cut(rows.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    kept = cut(rows.join(shared, ["band", "hash"]), "kept")
+    mass = cut(kept.groupBy("id").agg(F.sum("m").alias("mass")), "mass")
+    return cut(kept.select("band", "hash", "id").join(mass, "id"), "bands")
 
-    rows: (band, hash, id). The centre is the smallest id at turn 0, else one that a
-    hash of the turn picks. Without ``labels`` each id is its own component.
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Candidate edges (a < b): each bucket's members with its centre, the member with the largest mass, then the smallest id.
+
+    An original lies in the largest bucket of every band, so it outweighs its edited
+    copies, which may be alike to it but not to each other.
     """
-    order = F.col("id") if not turn else F.xxhash64(F.lit(turn), "id")
-    pick = F.min_by(F.struct("id", "label"), order) if labels is not None else F.min(F.struct("id"))
-    members = rows if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = [F.count("*").alias("n")] if labels is None else [F.min("label").alias("lo"), F.max("label").alias("hi")]
-    members = members if labels is None else cut(members, "members")
-    buckets = members.groupBy("band", "hash").agg(pick.alias("c"), *mixed).filter("n > 1" if labels is None else "lo <> hi")
-    buckets = cut(buckets.select("band", "hash", "c"), "buckets")
-    pairs = members.join(buckets, ["band", "hash"])
-    pairs = pairs.filter("id <> c.id" if labels is None else "label <> c.label")
-    return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    centres = cut(rows.groupBy("band", "hash").agg(F.max(F.struct("mass", (-F.col("id")).alias("neg"))).alias("c")), "centres")
+    pairs = rows.join(centres, ["band", "hash"]).select("id", (-F.col("c.neg")).alias("c")).filter("id <> c")
+    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def alike(group: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs of rows may reach the threshold, as a square of booleans.
+
+    Small sets are compared whole (one matrix product); else signatures must agree in
+    all but 4.5 standard deviations of the threshold's bins. Sizes must allow it.
+    """
+    n = group["n"].to_numpy()
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BINS)
+    out = np.zeros((len(n), len(n)), bool)
+    for k in range(len(n)):
+        least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n, n[k])))
+        out[k] = (sig == sig[k]).mean(1) >= least
+    few = [i for i, x in enumerate(group["few"]) if x is not None]
+    if few:
+        sets = [np.frombuffer(group["few"].iat[i], np.uint32) for i in few]
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(few)), [len(x) for x in sets])
+        both = np.zeros((len(few), len(few)), np.float32)
+        order = np.argsort(at, kind="stable")
+        for lo in range(0, len(words), 4096):  # a slice of the shingles at a time
+            part = order[np.searchsorted(at[order], lo) : np.searchsorted(at[order], lo + 4096)]
+            x = np.zeros((len(few), min(4096, len(words) - lo)), np.float32)
+            x[row[part], at[part] - lo] = 1
+            both += x @ x.T
+        total = n[few][:, None] + n[few][None] - both
+        out[np.ix_(few, few)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
+    return out & (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None]))
 
 
 def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 600) -> DataFrame:
-    """Candidate edges (a < b) between different components of a bucket, by signature, in blocks.
+    """Candidate edges (a < b) between different components of a bucket, in blocks.
 
     A bucket of m members is dealt over ceil(m / block) blocks and compared block by
     block, so no task holds more than two blocks of it. A pair comes from the first
-    band that it shares. It is kept if its sizes allow the threshold and its
-    signatures agree in all but 4.5 standard deviations of the threshold's bins.
-    sigs: (id, n, sig).
+    band that it shares. sigs: (id, n, sig, few).
     """
-    members = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = rows.select("band", "hash", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members, "members")
-    buckets = members.groupBy("band", "hash").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    buckets = cut(buckets.select("band", "hash", F.ceil(F.col("m") / block).cast("int").alias("parts")), "buckets")
-    dealt = members.join(buckets, ["band", "hash"]).join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
+    mixed = members.groupBy("band", "hash").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    mixed = cut(mixed.select("band", "hash", F.ceil(F.col("m") / block).cast("int").alias("parts")), "mixed")
+    dealt = members.join(mixed, ["band", "hash"]).join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.select("band", "hash", "id", "label", "n", "sig", "part", other.alias("other"))
+    dealt = dealt.select("band", "hash", "id", "label", "n", "sig", "few", "part", other.alias("other"))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BINS)
-        ids, lab, part, n = (group[c].to_numpy() for c in ("id", "label", "part", "n"))
+        ids, lab, part = (group[c].to_numpy() for c in ("id", "label", "part"))
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BANDS, ROWS)
         one, band = group["i"].iat[0] == group["j"].iat[0], group["band"].iat[0]
-        found = []
-        for k in range(len(group)):
-            fits = (lab != lab[k]) & (ids > ids[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            against = np.flatnonzero(fits if one else fits & (part != part[k]))
-            if len(against):
-                same = sig[against] == sig[k]
-                least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n[against], n[k])))
-                first = same.reshape(-1, BANDS, ROWS).all(2)[:, : band + 1].argmax(1) == band
-                found += [(ids[k], x) for x in ids[against[first & (same.mean(1) >= least)]]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        fits = alike(group, percent) & (lab[:, None] != lab[None]) & (ids[:, None] < ids[None])
+        if not one:
+            fits &= part[:, None] != part[None]
+        i, j = np.nonzero(fits)
+        first = (sig[i] == sig[j]).all(2)[:, : band + 1].argmax(1) == band
+        return pd.DataFrame({"a": ids[i[first]], "b": ids[j[first]]})
 
     return dealt.groupBy("band", "hash", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def linked(docs: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The confirmed edges of a table of candidates."""
+    ids = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = cut(sets_of(docs, ids, shingle).distinct(), "sets")
+    out = cut(confirm(candidates, sets, percent), "confirmed")
+    drop(sets, ids)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    star_rounds: int = 2,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(sketch(docs, shingle), "sketch")
     classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = cut(sketched.join(classes, (sketched.doc_id == classes.id) & (sketched.set_key == classes.set_key), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig").distinct(), "reps")
-    rows = reps.select("id", F.posexplode("bands").alias("band", "hash"))
-    rows = cut(rows, "bands")
-    labels, links, sets = None, None, None
-    tried = None
-    for turn in range(star_rounds + 1):
-        cand = stars(rows, labels, turn) if turn < star_rounds else across(rows, labels, reps.select("id", "n", "sig"), percent)
-        if tried is not None:
-            cand = cand.join(tried, ["a", "b"], "left_anti")
-        cand = cut(cand, "candidates")
-        if cand.isEmpty():
-            continue
-        ids = cut(cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct(), "ids")
-        sets = cut(sets_of(docs, ids, shingle).distinct(), "sets")
-        new = cut(confirm(cand, sets, percent), "confirmed")
-        drop(sets, ids)
-        tried = cand if tried is None else cut(tried.union(cand), "tried")
-        links = new if links is None else cut(links.union(new), "links")
-        if labels is None or not new.isEmpty():
-            labels = components(links)
+    reps = cut(sketched.join(classes, (sketched.doc_id == classes.id) & (sketched.set_key == classes.set_key), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few").distinct(), "reps")
+    rows = buckets_of(reps.select("id", F.posexplode("bands").alias("band", "hash")))
+    first = linked(docs, cut(stars(rows), "candidates"), shingle, percent)
+    labels = components(first)
+    rest = cut(across(rows, labels, reps.select("id", "n", "sig", "few"), percent), "candidates")
+    if not rest.isEmpty():
+        more = linked(docs, rest, shingle, percent)
+        if not more.isEmpty():
+            labels = components(cut(first.union(more), "links"))
     out = sketched.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("rep"))
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
+    out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
