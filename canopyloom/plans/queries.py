@@ -623,7 +623,7 @@ def cache_keys(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", io.cache_key(F.col("source"), True).alias("cache_key"))
 
 
-@query(", x AS (SELECT 1) SELECT doc_id, CASE WHEN len(k) > 0 THEN source || ' ' || array_to_string(k, ' ') ELSE source END AS enhanced FROM (SELECT doc_id, source, list_filter(string_split_regex(left(text, 40), '\s+'), lambda w: w <> '') AS k FROM units)")
+@query(r", x AS (SELECT 1) SELECT doc_id, CASE WHEN len(k) > 0 THEN source || ' ' || array_to_string(k, ' ') ELSE source END AS enhanced FROM (SELECT doc_id, source, list_filter(string_split_regex(left(text, 40), '\s+'), lambda w: w <> '') AS k FROM units)")
 def query_enhance(s, d):
     return views.units(s, d).select("doc_id", t.enhance(F.col("source"), t.keywords(F.left("text", F.lit(40)))).alias("enhanced"))
 

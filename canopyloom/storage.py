@@ -7,6 +7,7 @@ folder of this process is set.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The URI of the shared folder; its setting is made where it is missing."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="canopyloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
