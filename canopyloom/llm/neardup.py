@@ -195,33 +195,39 @@ def stars(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def alike(group: pd.DataFrame, percent: int) -> np.ndarray:
-    """Which pairs of rows may reach the threshold, as a square of booleans.
+def alike(group: pd.DataFrame, own: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the rows ``own`` (positions) may reach the threshold with which rows of the group, as booleans.
 
-    Small sets are compared whole (one matrix product); else signatures must agree in
-    all but 4.5 standard deviations of the threshold's bins. Sizes must allow it.
+    Small sets are compared whole (matrix products over shingles that several rows
+    hold); else signatures must agree in all but 4.5 standard deviations of the
+    threshold's bins. Sizes must allow it.
     """
     n = group["n"].to_numpy()
     sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BINS)
-    out = np.zeros((len(n), len(n)), bool)
-    for k in range(len(n)):
-        least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n, n[k])))
-        out[k] = (sig == sig[k]).mean(1) >= least
-    few = [i for i, x in enumerate(group["few"]) if x is not None]
-    if few:
-        sets = [np.frombuffer(group["few"].iat[i], np.uint32) for i in few]
-        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(own), len(n)), bool)
+    small = np.array([x is not None for x in group["few"]])
+    for i, k in enumerate(own):
+        to = np.flatnonzero(~small) if small[k] else np.arange(len(n))
+        least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n[to], n[k])))
+        out[i, to] = (sig[to] == sig[k]).mean(1) >= least
+    few, mine = np.flatnonzero(small), np.flatnonzero(small[own])
+    if len(few) and len(mine):
+        sets = [np.frombuffer(group["few"].iat[k], np.uint32) for k in few]
+        _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(few)), [len(x) for x in sets])
-        both = np.zeros((len(few), len(few)), np.float32)
-        order = np.argsort(at, kind="stable")
-        for lo in range(0, len(words), 4096):  # a slice of the shingles at a time
-            part = order[np.searchsorted(at[order], lo) : np.searchsorted(at[order], lo + 4096)]
-            x = np.zeros((len(few), min(4096, len(words) - lo)), np.float32)
+        met = often[at] > 1
+        row, at = row[met], (np.cumsum(often > 1) - 1)[at[met]]
+        order, last = np.argsort(at, kind="stable"), int((often > 1).sum())
+        rows_own = np.searchsorted(few, own[mine])
+        both = np.zeros((len(mine), len(few)), np.float32)
+        for lo in range(0, last, 2048):  # a slice of the shingles at a time
+            part = order[np.searchsorted(at[order], lo) : np.searchsorted(at[order], lo + 2048)]
+            x = np.zeros((len(few), min(2048, last - lo)), np.float32)
             x[row[part], at[part] - lo] = 1
-            both += x @ x.T
-        total = n[few][:, None] + n[few][None] - both
-        out[np.ix_(few, few)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
-    return out & (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None]))
+            both += x[rows_own] @ x.T
+        total = n[own[mine]][:, None] + n[few][None] - both
+        out[np.ix_(mine, few)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
+    return out & (100 * np.minimum(n[own][:, None], n[None]) >= percent * np.maximum(n[own][:, None], n[None]))
 
 
 def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 600) -> DataFrame:
@@ -244,10 +250,17 @@ def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, bl
         ids, lab, part = (group[c].to_numpy() for c in ("id", "label", "part"))
         sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BANDS, ROWS)
         one, band = group["i"].iat[0] == group["j"].iat[0], group["band"].iat[0]
-        fits = alike(group, percent) & (lab[:, None] != lab[None]) & (ids[:, None] < ids[None])
+        # rows of the largest component needn't meet each other
+        names, counts = np.unique(lab, return_counts=True)
+        own = np.flatnonzero(lab != names[counts.argmax()])
+        fits = alike(group, own, percent) & (lab[own][:, None] != lab[None])
         if not one:
-            fits &= part[:, None] != part[None]
+            fits &= part[own][:, None] != part[None]
         i, j = np.nonzero(fits)
+        i, inside = own[i], np.isin(np.arange(len(ids)), own)
+        once = ~inside[j] | (ids[i] < ids[j])
+        i, j = i[once], j[once]
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
         first = (sig[i] == sig[j]).all(2)[:, : band + 1].argmax(1) == band
         return pd.DataFrame({"a": ids[i[first]], "b": ids[j[first]]})
 
