@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 500_000
+MOST = 900_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE = re.compile(f"[{WHITE}]+")
