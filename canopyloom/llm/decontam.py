@@ -2,7 +2,8 @@
 
 Words are runs without ASCII white space, in lower case, ASCII
 punctuation deleted. An item of n words has max(1, n - k + 1) shingles of k words
-(k = 5, or n if fewer). Windows of a document have as many shingles as the item.
+(k = 5, or n if fewer). Windows of a document have as many shingles as the item;
+a document with fewer is one window as a whole, verified without a fingerprint search.
 
 1. A window that shares no shingle with an item has similarity 0 to it. So only
    windows that cover a shingle of an item, and have that item's size, are
@@ -132,6 +133,14 @@ class Items:
             if not len(hits):
                 continue
             spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of window size: starts to look at
+            longer = {i for p in hits.tolist() for i in places[int(s[p])] if len(s) < self.total[i] and len(s) / self.total[i] >= threshold}
+            if longer:
+                whole, own_print = Counter(s.tolist()), int(fingerprint(signs(s).sum(0)[None])[0])
+                for i in longer:
+                    both = (self.own[i] & whole).total()
+                    similarity = both / (self.total[i] + len(s) - both)
+                    if similarity >= threshold:
+                        best[i] = (self.ids[i], 0, len(words), (self.prints[i] ^ own_print).bit_count(), similarity)
             for p in hits.tolist():
                 for size in {self.total[i] for i in places[int(s[p])]}:
                     lo, hi = max(0, p - size + 1), min(p, len(s) - size)

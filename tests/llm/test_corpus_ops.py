@@ -119,6 +119,17 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.find(a.limit(0), b).count() == 0 and decontam.find(a, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    w = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(w[:59])), (2, " ".join(w[:30] + w[31:])), (3, " ".join(w[:49])), (4, " ".join(w[:48])), (5, " ".join(w[:3])), (6, " ".join(w[2:] + w[2:4]))]
+    items = [(7, " ".join(w)), (8, None)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontam.find(a, b).collect()}
+    assert {d: (x["start_word"], x["n_words"]) for d, x in got.items()} == {1: (0, 59), 2: (0, 59), 3: (0, 49), 6: (0, 60)}
+    assert [got[d]["similarity"] for d in (1, 2, 3)] == [55 / 56, 51 / 60, 45 / 56]
+    assert {x["doc_id"] for x in decontam.drop_contaminated(a, b).collect()} == {4, 5}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     r = np.random.default_rng(9)
     items = decontam.Items([(i, " ".join(r.choice([f"w{j}" for j in range(50)], 20))) for i in range(30)], 5, 20)
