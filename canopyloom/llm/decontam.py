@@ -12,7 +12,10 @@ a document with fewer is one window as a whole, verified without a fingerprint s
 3. The items' fingerprints are indexed in ``radius`` + 1 blocks of bits. Two
    fingerprints within the radius agree in a block at least, so looking up every
    block finds all of them.
-4. What is found is verified exactly: shingles weighted by how often they occur,
+4. Similar windows may lie beyond the radius. So windows that hold as many shingles
+   of an item as the threshold needs are taken as well, whatever their distance;
+   the radius doesn't decide what is found.
+5. What is found is verified exactly: shingles weighted by how often they occur,
    sum of minima over sum of maxima, at least ``threshold``.
 
 The best window of each pair of document and item is returned (highest
@@ -119,6 +122,26 @@ class Items:
             for j in np.flatnonzero(distance <= self.radius):
                 yield w, int(own[cand[j]]), int(distance[j])
 
+    def reach(self, i: int, at: list[int], s: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(start, shared shingles) of the windows of item i's size that reach the threshold; at: where its shingles stand in s."""
+        own, size = self.own[i], self.total[i]
+        if len(at) < size and len(at) / (2 * size - len(at)) < threshold:
+            return
+        names, window, both, lo, hi = s[at].tolist(), Counter(), 0, 0, 0
+        # the shared shingles change only where one of them enters or leaves the window
+        steps = sorted({x for p in at for x in (p - size + 1, p + 1) if 0 <= x <= len(s) - size} | {0})
+        for w in steps:
+            while hi < len(at) and at[hi] < w + size:
+                window[names[hi]] += 1
+                both += window[names[hi]] <= own[names[hi]]
+                hi += 1
+            while lo < hi and at[lo] < w:
+                both -= window[names[lo]] <= own[names[lo]]
+                window[names[lo]] -= 1
+                lo += 1
+            if both / (2 * size - both) >= threshold:
+                yield w, both
+
     def search(self, text: str | None, threshold: float) -> list[tuple]:
         """(item id, start word, words, distance, similarity) of the best window of each item found."""
         words = hashes(text)
@@ -149,6 +172,17 @@ class Items:
                             spans[size][-1] = (spans[size][-1][0], max(hi, spans[size][-1][1]))
                         else:
                             spans[size].append((lo, hi))
+            places_of: dict[int, list[int]] = defaultdict(list)  # of item: where its shingles stand
+            for p in hits.tolist():
+                for i in places[int(s[p])]:
+                    places_of[i].append(p)
+            for i, own_at in places_of.items():
+                size = self.total[i]
+                for w, both in self.reach(i, own_at, s, threshold) if size <= len(s) else ():
+                    similarity = both / (2 * size - both)
+                    if i not in best or (-similarity, w) < (-best[i][4], best[i][1]):
+                        distance = (int(fingerprint(signs(s[w : w + size]).sum(0)[None])[0]) ^ self.prints[i]).bit_count()
+                        best[i] = (self.ids[i], w, size + k - 1, distance, similarity)
             for size, runs in spans.items():
                 for lo, hi in runs:
                     part = s[lo : hi + size]

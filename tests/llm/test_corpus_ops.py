@@ -130,6 +130,19 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert {x["doc_id"] for x in decontam.drop_contaminated(a, b).collect()} == {4, 5}
 
 
+def test_decontamination_beyond_the_radius():
+    for seed, far in ((2743, 22), (6913, 21), (11252, 22)):
+        w = [f"s{seed}w{i}" for i in range(50)]
+        items = decontam.Items([(1, " ".join(w))], 5, 20)
+        w[25] = "changed"
+        assert items.search(" ".join(["a", "b", *w, "c"]), 0.8) == [(1, 2, 50, far, 41 / 51)]
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(r.choice(list("abcdef"), r.integers(3, 14)))) for i in range(40)]
+    docs = [(i, " ".join(r.choice(list("abcdef"), r.integers(14, 300)))) for i in range(25)]
+    got = {(d, x[0]) for d, t in docs for x in decontam.Items(rows, 5, 0).search(t, 0.3)}
+    assert got == brute_leaks(docs, rows, 0.3) and len(got) > 20
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     r = np.random.default_rng(9)
     items = decontam.Items([(i, " ".join(r.choice([f"w{j}" for j in range(50)], 20))) for i in range(30)], 5, 20)
