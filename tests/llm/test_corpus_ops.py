@@ -238,6 +238,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_whose_short_signatures_agree_in_an_earlier_band(spark):
+    # the 16-bit signatures agree in band 0, where the buckets differ; the pair shares the bucket of band 3 only
+    sig = np.arange(neardup.BINS, dtype=np.uint16).tobytes()
+    rows = spark.createDataFrame([(0, 11, 1), (0, 12, 2), (3, 13, 1), (3, 13, 2)], "band int, hash long, id long")
+    sigs = spark.createDataFrame([(i, 1000, sig, None) for i in (1, 2)], "id long, n long, sig binary, few binary")
+    labels = spark.createDataFrame([], "id long, label long")
+    assert [tuple(r) for r in neardup.across(rows, labels, sigs, 80).collect()] == [(1, 2)]
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     r = np.random.default_rng(8)
     x = r.standard_normal((700, 16)).astype(np.float32)
