@@ -294,6 +294,17 @@ def test_pipeline_stages(spark, small):
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    a, b, x = (" ".join(f"{n}{i}" for i in range(30)) for n in "abx")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (4, x), (4, x), (5, ""), (5, ""), (6, "y"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = c.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (4, x), (5, ""), (6, "y"), (None, a), (None, a)])
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, small):
     import corpus_pipeline as c
 
