@@ -2,8 +2,9 @@
 
 Inline elements (links, bold, spans) don't make nodes: their text belongs to the
 element around them. A leaf is the text between two block boundaries. Text of
-scripts, styles, form controls, embedded objects and the page's head is markup and
-makes no leaf. Unclosed and stray tags are accepted.
+scripts, styles, form controls, frames, templates and the page's head is markup and
+makes no leaf. Formulas are inline text; text in noscript, object, audio, video,
+canvas and svg makes leaves like any other. Unclosed and stray tags are accepted.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from html import unescape
 #: Elements without content, with raw text, whose text is no page text, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style textarea title iframe noscript template svg math object audio video canvas select option optgroup datalist button noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
+SILENT = frozenset("head script style textarea title iframe template select option optgroup datalist button noembed noframes".split())
+#: Elements of their own that may stand in a paragraph without closing it.
+EMBEDDED = frozenset("noscript object audio video canvas svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml menclose maction mmultiscripts q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
 #: A start tag of the first closes an open element of the second, up to an element of the third.
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -122,7 +125,7 @@ def read(html: str) -> list[Node]:
             if len(names) > 400:  # unclosed inline tags add up
                 pop()
             continue
-        if tag not in SILENT and "p" in names:
+        if tag not in SILENT and tag not in EMBEDDED and "p" in names:
             k = len(names) - 1
             while names[k] != "p" and names[k] in INLINE:
                 k -= 1

@@ -190,6 +190,17 @@ def test_main_text_rules(spark):
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got) and maintext.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_formulas_and_embedded_text():
+    say = "This is a long enough sentence of the article. It goes on for a while."
+    page = f"<body><article><h1>Title</h1><p>{say} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold here.</p><p>{say}</p><noscript><p>{say} Noscript.</p></noscript><p>{say} <object data='a'>{say} Object.</object> {say} After.</p></article></body>"
+    leaves = [n.text for n in maintext.read(page) if not n.tag]
+    assert leaves == ["Title", f"{say} Let x=2 hold here.", say, f"{say} Noscript.", say, f"{say} Object.", f"{say} After."]
+    assert maintext.main_text(page, maintext.default_model()) == "\n".join(leaves)
+    for tag in ("audio", "video", "canvas", "svg"):
+        assert [n.text for n in maintext.read(f"<p>a <{tag}>b</{tag}> c") if not n.tag] == ["a", "b", "c"]
+    assert [n.text for n in maintext.read("<p>a <template>b</template>c<script>d</script>") if not n.tag] == ["a c"]
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for d, t in docs:
