@@ -109,7 +109,9 @@ def attribute(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from canopyloom.llm.pieces import arrow, columns, encoder
 
-        codec = encoder(tokenizer, "spaces", 2)
+        codec = encoder(tokenizer)
+        if codec.kind == "words":
+            raise ValueError("attribution needs a byte-level tokenizer, whose tokens spell the text")
         vocab = codec.tokenizer.get_vocab(with_added_tokens=True)
         size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():

@@ -131,7 +131,6 @@ class Packer:
 def pack(
     docs: DataFrame,
     tokenizer: str,
-    kind: str = "words",
     end_id: int = 2,
     window: int = 4096,
     max_slack: int = 8,
@@ -148,9 +147,10 @@ def pack(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from canopyloom.llm.pieces import arrow, columns, encoder
 
-        codec = encoder(tokenizer, kind, 2 if end_id < 1 << 16 else 4)
+        codec = encoder(tokenizer)
+        wide = codec.dtype if end_id <= np.iinfo(codec.dtype).max else np.dtype("<u4")
         packer = Packer(window, max_slack, pool_tokens, TaskContext.get().partitionId() << 32)
-        end, rows = np.array([end_id], codec.dtype), []
+        end, rows = np.array([end_id], wide), []
         keys: deque = deque()
 
         def texts():

@@ -1,37 +1,40 @@
 """Exact, memoised use of a tokenizer: texts are cut where no token can cross, each distinct piece is encoded once.
 
-The ids are those of the ``tokenizers`` library for the whole text. Two cuts are
-proven safe from the files' own rules:
+The ids are those of the ``tokenizers`` library for the whole text. The file itself
+says which cuts are proven safe (``kind_of`` reads its normaliser and splitter):
 
-* ``words`` (word_bpe_49k): its normaliser turns white space into a space and its
+* ``words`` (as word_bpe_49k): the normaliser turns white space into a space and the
   splitter drops white space, so tokens never cross it, and neither composition
   (NFC) nor lower-casing looks across white space.
-* ``spaces`` (byte_bpe_50k): the splitter takes at most one leading space into a
+* ``spaces`` (as byte_bpe_50k): the splitter takes at most one leading space into a
   word, and a single line feed between two characters that aren't white space is a
   token of its own. So the text may be cut around such a line feed, and before a
   space that follows a character and precedes a character, none of them white
   space. A text with any other white space (tabs, runs of spaces, edges) is
   encoded whole.
-* A full stop or comma after an ASCII letter or digit at a piece's end is a token
-  of its own in both splitters; ``words`` also lower-cases, so an ASCII piece
-  shares its ids with its lower-case form.
+* In both, a run of ASCII punctuation at a piece's end is split from the letter or
+  digit before it; ``words`` also lower-cases, so an ASCII piece shares its ids with
+  its lower-case form.
+* ``whole``: any other file. Texts are encoded by the library as they are.
 
 Texts that hold the start of a special token's string are encoded whole.
-Memory is bounded: beyond ``MOST`` pieces the memo starts anew.
+Memory is bounded: a memo of more than ``MOST`` pieces keeps the half used most.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
-from array import array
+import string
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 900_000
+MOST = 600_000
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE = re.compile(f"[{WHITE}]+")
@@ -42,6 +45,12 @@ SPECIAL = "<|"
 #: Letters alone are one word to both splitters, and composed already: only the model's merges remain to be applied.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
+#: Whether a byte is ASCII punctuation; whether it is an ASCII letter or digit.
+_SIGN = np.array([chr(b) in string.punctuation for b in range(256)])
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: Fixed value: the splitter of ``words`` files.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE's sign for each byte: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
@@ -50,53 +59,85 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def kind_of(path: str) -> str:
+    """Which cuts a tokenizer file allows: words, spaces or whole."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, normal, split = told["model"], told.get("normalizer"), told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("continuing_subword_prefix")
+    plain = plain and not told.get("truncation") and not told.get("padding")
+    plain = plain and all(t["content"].startswith(SPECIAL) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told.get("added_tokens", []))
+    if plain and normal is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("end_of_word_suffix"):
+        return "spaces"
+    if plain and normal and normal["type"] == "Sequence" and split.get("type") == "Sequence":
+        steps = [(n["type"], (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in normal["normalizers"]]
+        parts = [(p["type"], (p.get("pattern") or {}).get("Regex"), p.get("behavior"), p.get("invert"), p.get("use_regex")) for p in split["pretokenizers"]]
+        if steps == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] and parts == [("Split", _WORDS, "Removed", True, None), ("ByteLevel", None, None, None, False)]:
+            return "words"
+    return "whole"
+
+
+class Store:
+    """Pieces and their ids: a dict to numbers, the ids in one flat array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.index: dict[str, int] = {}
+        self.ids, self.starts, self.hits = np.empty(1 << 16, dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+    def add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.index), len(pieces)
+        at = int(self.starts[n])
+        self.index.update(zip(pieces, range(n, n + m), strict=True))
+        self.ids, self.starts, self.hits = self._room(self.ids, at + len(ids)), self._room(self.starts, n + m + 1), self._room(self.hits, n + m + 1)
+        self.ids[at : at + len(ids)] = ids
+        self.starts[n + 1 : n + m + 1] = at + np.cumsum(lengths)
+        self.hits[n : n + m] = 0
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of these pieces in turn."""
+        n = self.starts[which + 1] - self.starts[which]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(int(n.sum())) + np.repeat(self.starts[which] - ends + n, n)], ends
+
+    def halve(self) -> None:
+        """Keep the half of the pieces that was used most."""
+        n = len(self.index)
+        keep = np.sort(np.argpartition(-self.hits[:n], n // 2)[: n // 2])
+        ids, ends = self.gather(keep)
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(keep.tolist())}
+        hits = self.hits[keep] // 2
+        self.ids, self.starts = ids, np.concatenate([[0], ends])
+        self.hits = np.concatenate([hits, [0]])
+
+
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned ids, ``width`` bytes (2 or 4) each."""
+    """Encodes texts to little-endian unsigned ids, 2 or 4 bytes each as the vocabulary needs."""
 
-    def __init__(self, path: str, kind: str, width: int = 4):
+    def __init__(self, path: str, most: int = MOST):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.dtype = Tokenizer.from_file(path), kind, np.dtype(f"<u{width}")
-        self.memo: dict[str, bytes] = {}
+        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind_of(path), most
+        self.top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.dtype = np.dtype("<u2" if self.top < 1 << 16 else "<u4")
+        self.store = Store(self.dtype)
         self.model, signs = self.tokenizer.model, byte_letters()
+        self.space = signs[0x20]
         self.signs = {c: "".join(signs[b] for b in chr(c).encode()) for c in [0x20, *range(0xC0, 0x100)]}
-        self.end = dict(zip(".,", self.raw([".", ","]), strict=True))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids by the library alone."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        memo = self.memo
-        parts, ask = [], set()
-        for p in pieces:
-            if not p:
-                memo[p] = b""
-                continue
-            base, end = p, ""
-            if len(p) < 64 and SPECIAL not in p and p.isascii():  # longer pieces seldom recur
-                if p[-1] in ".," and len(p) > 1 and p[-2].isalnum():
-                    base, end = p[:-1], p[-1]
-            if self.kind == "words" and (p.isascii() and len(p) < 64 or _LETTERS.fullmatch(base)) and SPECIAL not in p:
-                base = base.lower()
-            parts.append((p, base, end))
-            if base not in memo:
-                ask.add(base)
-        plain = {p for p in ask if _LETTERS.fullmatch(p, p[0] == " ")}
-        tokenize, signs, code = self.model.tokenize, self.signs, "H" if self.dtype.itemsize == 2 else "I"
-        for p in plain:
-            memo[p] = array(code, [t.id for t in tokenize(p.replace(" ", signs[0x20]) if p.isascii() else p.translate(signs))]).tobytes()
-        rest = list(ask - plain)
-        memo.update(zip(rest, self.raw(rest), strict=True))
-        for p, base, end in parts:
-            if p != base:
-                memo[p] = memo[base] + self.end[end] if end else memo[base]
-
     def encode(self, texts) -> list[bytes]:
         """The ids of every text as bytes; null and empty texts have none."""
         return [x.tobytes() for x in self.stream(texts)]
 
-    def stream(self, texts, chars: int = 3 << 20):
+    def stream(self, texts, chars: int = 4 << 20):
         """An array of ids for one text after the other; memory is bounded by the longest text and ``chars``."""
         block, held = [], 0
         for t in texts:
@@ -108,9 +149,9 @@ class PieceEncoder:
         yield from self._block(block)
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MOST:
-            self.memo.clear()
-        cut = self._words if self.kind == "words" else self._spaces
+        if len(self.store.index) > self.most:
+            self.store.halve()
+        cut = {"words": self._words, "spaces": self._spaces, "whole": lambda t: None}[self.kind]
         out: list[np.ndarray | None] = [None] * len(texts)
         marked, at = [], []
         for i, t in enumerate(texts):
@@ -124,23 +165,75 @@ class PieceEncoder:
             return out
         last = np.cumsum([m.count("\0") + 1 for m in marked])
         coded = pc.split_pattern(pa.array(["\0".join(marked)], pa.large_string()), "\0").values.dictionary_encode()
-        got = self._known(coded.dictionary.to_pylist()).take(coded.indices)
+        del marked
+        got = self._known(coded.dictionary).take(coded.indices)
         ids = np.frombuffer(got.buffers()[2] or b"", self.dtype)
         last = np.frombuffer(got.buffers()[1], np.int32)[last] // self.dtype.itemsize
         for i, lo, hi in zip(at, [0, *last[:-1]], last, strict=True):
             out[i] = ids[lo:hi]
         return out
 
-    def _known(self, pieces: list[str]) -> pa.Array:
-        """Each piece's ids."""
+    def _known(self, pieces: pa.Array) -> pa.Array:
+        """Each distinct piece's ids, as an array of binaries. Signs at the end and capitals are taken off on the bytes of all pieces at once."""
+        n = len(pieces)
+        off = np.frombuffer(pieces.buffers()[1], np.int64)[: n + 1]
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: off[-1]]
+        size = np.diff(off)
+        full = np.flatnonzero(size)
+        cut = off[1:].copy()
+        # where the run of signs at the end begins: after the last byte that is none
+        body = np.where(_SIGN[data], -1, np.arange(len(data)))
+        body = np.maximum.reduceat(body, off[full]) if len(full) else body[:0]
+        some = (body >= 0) & (body + 1 < off[full + 1])
+        at, which = body[some], full[some]
+        letter = _ALNUM[data[at]] | (at > off[which]) & (data[at - 1] == 0xC3) & (data[at] >= 0x80) & (data[at] != 0x97) & (data[at] != 0xB7)
+        cut[which[letter]] = at[letter] + 1
+        inside = np.arange(len(data)) < np.repeat(cut, size)
+        base, signs = data[inside], data[~inside]
+        base_off = np.concatenate([[0], np.cumsum(cut - off[:-1])])
+        if self.kind == "words":
+            wide = np.concatenate([[0], np.cumsum(base > 127)])
+            plain = wide[base_off[1:]] == wide[base_off[:-1]]
+            base = base + 32 * ((base >= 65) & (base <= 90) & np.repeat(plain, np.diff(base_off))).astype(np.uint8)
+        parts = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(np.concatenate([base_off, base_off[-1] + np.cumsum(off[1:] - cut)])), pa.py_buffer(np.concatenate([base, signs])))
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
         collects = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and a collection walks the whole memo
-        got = list(map(self.memo.get, pieces))
-        self._learn({p for p, g in zip(pieces, got, strict=True) if g is None})
-        got = pa.array([self.memo[p] if g is None else g for p, g in zip(pieces, got, strict=True)], pa.binary())
+        known = np.fromiter(map(self.store.index.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            begin = len(self.store.index)
+            known[new[self._learn([names[i] for i in new.tolist()])]] = np.arange(begin, begin + len(new))
         if collects:
             gc.enable()
-        return got
+        self.store.hits[known] += 1
+        # a piece is its body followed by its signs
+        ids, ends = self.store.gather(known[coded.indices.to_numpy()].reshape(2, n).T.reshape(-1))
+        offsets = np.concatenate([[0], ends[1::2] * self.dtype.itemsize]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Add pieces to the store; gives their positions in the order in which they were added."""
+        spaced = self.kind == "spaces"
+        plain, wide, rest = [], [], []
+        for i, p in enumerate(pieces):
+            if not _LETTERS.fullmatch(p, p[:1] == " " and spaced):
+                rest.append(i)
+            elif p.isascii():
+                plain.append(i)
+            else:
+                wide.append(i)
+        tokenize = self.model.tokenize
+        text = "\0".join([pieces[i] for i in plain])
+        signed = text.replace(" ", self.space).split("\0") if plain else []
+        signed += [(pieces[i] if spaced else pieces[i].lower()).translate(self.signs) for i in wide]
+        lists = [[t.id for t in tokenize(p)] for p in signed]
+        lists += [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False)]
+        order = np.array(plain + wide + rest)
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.store.add([pieces[i] for i in order.tolist()], np.fromiter(chain.from_iterable(lists), self.dtype, int(lengths.sum())), lengths)
+        return order
 
     @staticmethod
     def _words(text: str) -> str:
@@ -158,9 +251,9 @@ class PieceEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str, kind: str, width: int) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process: its memo outlives the tasks, its size stays bounded."""
-    return PieceEncoder(path, kind, width)
+    return PieceEncoder(path)
 
 
 def columns(batches, rows: int = 256):

@@ -41,6 +41,35 @@ BLOCK = 1 << 16
 MANIFEST = "shard long, part int, path string, n_docs long, n_tokens long"
 
 
+def partition(ids: np.ndarray, k: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Bit k of each id, packed, and the ids with bit 0 before those with bit 1. In steps that fit a processor's cache."""
+    bit, n = ids.dtype.type(1 << k), len(ids)
+    packed = np.empty(-(-n // 8), np.uint8)
+    for i in range(0, n, step):
+        packed[i // 8 : (min(n, i + step) + 7) // 8] = np.packbits((ids[i : i + step] & bit) != 0, bitorder="little")
+    low, out = 0, np.empty_like(ids)
+    high = n - int(np.bitwise_count(packed).sum())
+    for i in range(0, n, step):
+        part = ids[i : i + step]
+        ones = (part & bit) != 0
+        a, b = part.take(np.flatnonzero(~ones)), part.take(np.flatnonzero(ones))
+        out[low : low + len(a)], out[high : high + len(b)] = a, b
+        low, high = low + len(a), high + len(b)
+    return packed, out
+
+
+def spread(ones: np.ndarray, below: np.ndarray, zeros: int, bit: int, step: int = 1 << 18) -> np.ndarray:
+    """A level's ids from those of the level below it: what ``partition`` took apart."""
+    out, low, high = np.empty_like(below), 0, zeros
+    for i in range(0, len(below), step):
+        part = np.unpackbits(ones[i // 8 : (i + step) // 8], count=min(step, len(below) - i), bitorder="little").view(bool)
+        a, b = np.flatnonzero(~part), np.flatnonzero(part)
+        own = out[i : i + step]
+        own[a], own[b] = below[low : low + len(a)], below[high : high + len(b)] | below.dtype.type(bit)
+        low, high = low + len(a), high + len(b)
+    return out
+
+
 def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> Iterator[bytes]:
     """The bytes of a file over ``ids`` (unsigned), which belong to documents of ``lengths``."""
     import zstandard
@@ -49,8 +78,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> Iterator[bytes]
     width, at = max(1, int(ids.max(initial=0)).bit_length()), 0
     planes = []
     for k in range(width - 1, -1, -1):
-        ones = (ids & ids.dtype.type(1 << k)) != 0
-        packed = np.packbits(ones, bitorder="little")
+        packed, ids = partition(ids, k)
         blocks, before, seen = [], [], 0
         for i in range(0, len(packed), BLOCK):
             part = packed[i : i + BLOCK]
@@ -61,8 +89,6 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> Iterator[bytes]
             at += len(data)
             yield data
         planes.append({"blocks": [*blocks, at], "before": [*before, seen], "zeros": len(ids) - seen})
-        if k:
-            ids = np.concatenate([ids[~ones], ids[ones]])
     known = [x is not None for x in doc_ids]
     head = {"n": len(ids), "docs": [x if x is not None else 0 for x in doc_ids], "known": None if all(known) else known, "lengths": lengths, "planes": planes}
     data = squeeze(json.dumps(head).encode())
@@ -166,11 +192,8 @@ class Reader:
         for level in range(len(self.planes) - 1, -1, -1):
             plane = self.planes[level]
             packed = [self._load(level, i) for i in range(len(plane["blocks"]) - 1)]
-            ones = np.unpackbits(np.concatenate(packed), count=self.n, bitorder="little").view(bool) if packed else np.zeros(0, bool)
-            up = np.empty(self.n, wide)
-            up[~ones] = out[: plane["zeros"]]
-            up[ones] = out[plane["zeros"] :] | wide(1 << len(self.planes) - 1 - level)
-            out = up
+            if packed:
+                out = spread(np.concatenate(packed), out, plane["zeros"], 1 << len(self.planes) - 1 - level)
         return out
 
 
@@ -178,7 +201,6 @@ def write(
     docs: DataFrame,
     folder: str,
     tokenizer: str,
-    kind: str = "spaces",
     end_id: int = 2,
     shard_chars: int = 12_000_000,
     file_tokens: int = 12_000_000,
@@ -197,8 +219,9 @@ def write(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from canopyloom.llm.pieces import arrow, columns, encoder
 
-        codec = encoder(tokenizer, kind, 2)
-        end, shard, part = np.array([end_id], codec.dtype), TaskContext.get().partitionId(), 0
+        codec = encoder(tokenizer)
+        wide = codec.dtype if end_id <= np.iinfo(codec.dtype).max else np.dtype("<u4")
+        end, shard, part = np.array([end_id], wide), TaskContext.get().partitionId(), 0
         keys: list = []
 
         def texts():

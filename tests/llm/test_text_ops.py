@@ -47,13 +47,14 @@ def test_pieces_give_the_librarys_ids(corpus, name, kind):
     r = random.Random(3)
     parts = ["a", "b", " ", "\n", "\t", "  ", " \n", "é", "'s", " 's", "12", "!", "<|endoftext|>", "\x1c", "\xa0", "　", "Σ", "\r\n", "word", " word.", ",", "Á", "́", "\0"]
     texts = [x or "" for x in ODD] + ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(4000)] + [r["text"] for r in corpus.collect()]
-    e = PieceEncoder(tokenizer_path(name), kind, 4)
+    e = PieceEncoder(tokenizer_path(name), most=3000)
+    assert e.kind == kind
     assert e.encode(texts) == e.raw(texts)
 
 
 def test_attribution_matches_offsets(spark, corpus):
     path = tokenizer_path("byte_bpe_50k.json")
-    tok = PieceEncoder(path, "spaces", 4).tokenizer
+    tok = PieceEncoder(path).tokenizer
     docs = corpus.limit(40).unionByName(odd_docs(spark).select(*corpus.columns).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10_000))
     got = defaultdict(float)
     for r in attribution.attribute(docs, path, fields=("source", "text"), sep=" ", by_line=True).collect():
@@ -102,7 +103,7 @@ def check_packing(rows, want, window=4096):
 
 
 def test_packing_round_trip(spark, small, corpus):
-    tok = PieceEncoder(tokenizer_path("word_bpe_49k.json"), "words", 4).tokenizer
+    tok = PieceEncoder(tokenizer_path("word_bpe_49k.json")).tokenizer
     want = {r["doc_id"]: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in corpus.collect()}
     assert check_packing(queries.op5_packing(spark, small).collect(), want) < 0.01
 
@@ -152,7 +153,7 @@ def test_wavelet_blocks(monkeypatch):
 
 
 def test_wavelet_round_trip(spark, small, corpus):
-    tok = PieceEncoder(tokenizer_path("byte_bpe_50k.json"), "spaces", 4).tokenizer
+    tok = PieceEncoder(tokenizer_path("byte_bpe_50k.json")).tokenizer
     start, want = 0, {}
     for r in corpus.orderBy("doc_id").collect():
         ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
