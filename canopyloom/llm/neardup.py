@@ -11,16 +11,18 @@
    label propagation with pointer jumping; each round's tables are written to shared
    storage.
 5. A star can miss a link between two members that aren't similar to the centre. So
-   in buckets that still hold several components, pairs across components are
-   compared in bounded blocks, small sets whole and others by signature, which loses
+   in buckets that still hold several components, members outside the largest one are
+   compared with all members of other components, in bounded blocks: each pair in the
+   first bucket that it shares, small sets whole and others by signature, which loses
    few pairs (see ``alike``). What may reach the threshold is confirmed on full sets too.
 
 Rules: words are runs of characters other than space and U+0009 to U+000D, A-Z in
 lower case. With fewer words than a shingle has, the whole sequence is the one
 shingle. Null, empty and blank texts have an empty set and are linked with nothing.
-Rows that share an id are one document for the graph, linked by any of them.
-A row with a null id is its own component (component_id null, kept true). An empty
-table gives an empty table. Only the id and the text are read.
+Rows that share an id but not the text are documents of their own, of which any may
+be linked; component_id is the smallest id in a row's own group. Rows equal in id and
+text are equal in the result. A row with a null id is its own component (component_id
+null, kept true). An empty table gives an empty table. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ BANDS = BINS // ROWS
 TRIES = 256
 #: Sets of up to so many shingles are compared whole where a signature is too coarse for them.
 FEW = 300
+#: Standard deviations below the threshold at which a signature still passes.
+SIGMAS = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,8 +104,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sig (16 bits a bin), few (32 bits a shingle, of small sets)."""
+def sketch(docs: DataFrame, shingle: int, few: int) -> DataFrame:
+    """doc_id, n_shingles, set_key (null for an empty set), bands, and for comparisons either few (32 bits a shingle, small sets) or sig (16 bits a bin)."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, few binary"
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +117,8 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 s = shingle_set(t, shingle)
                 if len(s):
                     sig = signature(s)
-                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), mix(sig).astype(np.uint16).tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= FEW else None))
+                    short = len(s) <= few
+                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), None if short else mix(sig).astype(np.uint16).tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes() if short else None))
                 else:
                     rows.append((0, None, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sig", "few"])
@@ -181,7 +186,9 @@ def buckets_of(rows: DataFrame) -> DataFrame:
     shared = cut(rows.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     kept = cut(rows.join(shared, ["band", "hash"]), "kept")
     mass = cut(kept.groupBy("id").agg(F.sum("m").alias("mass")), "mass")
-    return cut(kept.select("band", "hash", "id").join(mass, "id"), "bands")
+    out = cut(kept.select("band", "hash", "id").join(mass, "id"), "bands")
+    drop(shared, kept, mass)
+    return out
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -190,80 +197,126 @@ def stars(rows: DataFrame) -> DataFrame:
     An original lies in the largest bucket of every band, so it outweighs its edited
     copies, which may be alike to it but not to each other.
     """
-    centres = cut(rows.groupBy("band", "hash").agg(F.max(F.struct("mass", (-F.col("id")).alias("neg"))).alias("c")), "centres")
+    centres = rows.groupBy("band", "hash").agg(F.max(F.struct("mass", (-F.col("id")).alias("neg"))).alias("c"))
     pairs = rows.join(centres, ["band", "hash"]).select("id", (-F.col("c.neg")).alias("c")).filter("id <> c")
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def alike(group: pd.DataFrame, own: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the rows ``own`` (positions) may reach the threshold with which rows of the group, as booleans.
+def overlaps(own: list[bytes], every: list[bytes], most: int = 1 << 23) -> np.ndarray:
+    """How many 32-bit values each set of ``own`` shares with each of ``every``.
 
-    Small sets are compared whole (matrix products over shingles that several rows
-    hold); else signatures must agree in all but 4.5 standard deviations of the
-    threshold's bins. Sizes must allow it. The signatures' gate isn't exact: of pairs
-    right at 80 % with all bins full, about 2 in 100,000 (binomial tail) fall below it.
+    Values that many sets hold are counted by matrix products, the others by their
+    sorted places, ``most`` at a time.
     """
-    n = group["n"].to_numpy()
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), BINS)
-    out = np.zeros((len(own), len(n)), bool)
-    small = np.array([x is not None for x in group["few"]])
-    for i, k in enumerate(own):
-        to = np.flatnonzero(~small) if small[k] else np.arange(len(n))
-        least = percent / 100 - 4.5 * np.sqrt(0.16 / np.minimum(BINS, np.minimum(n[to], n[k])))
-        out[i, to] = (sig[to] == sig[k]).mean(1) >= least
-    few, mine = np.flatnonzero(small), np.flatnonzero(small[own])
-    if len(few) and len(mine):
-        sets = [np.frombuffer(group["few"].iat[k], np.uint32) for k in few]
-        _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(few)), [len(x) for x in sets])
-        met = often[at] > 1
-        row, at = row[met], (np.cumsum(often > 1) - 1)[at[met]]
-        order, last = np.argsort(at, kind="stable"), int((often > 1).sum())
-        rows_own = np.searchsorted(few, own[mine])
-        both = np.zeros((len(mine), len(few)), np.float32)
-        for lo in range(0, last, 2048):  # a slice of the shingles at a time
-            part = order[np.searchsorted(at[order], lo) : np.searchsorted(at[order], lo + 2048)]
-            x = np.zeros((len(few), min(2048, last - lo)), np.float32)
-            x[row[part], at[part] - lo] = 1
-            both += x[rows_own] @ x.T
-        total = n[own[mine]][:, None] + n[few][None] - both
-        out[np.ix_(mine, few)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
-    return out & (100 * np.minimum(n[own][:, None], n[None]) >= percent * np.maximum(n[own][:, None], n[None]))
-
-
-def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 600) -> DataFrame:
+    x, y = (np.frombuffer(b"".join(z), np.uint32) for z in (own, every))
+    row_x, row_y = (np.repeat(np.arange(len(z)), [len(v) // 4 for v in z]) for z in (own, every))
+    order = np.argsort(y, kind="stable")
+    y, row_y = y[order], row_y[order]
+    lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    often = hi - lo
+    out = np.zeros((len(own), len(every)), np.float32)
+    heavy = often > max(16, len(every) // 8)
+    names = np.unique(x[heavy])
+    for i in range(0, len(names), 2048):
+        part = names[i : i + 2048]
+        one, all_ = np.zeros((len(own), len(part)), np.float32), np.zeros((len(every), len(part)), np.float32)
+        mine = heavy & (x >= part[0]) & (x <= part[-1])
+        one[row_x[mine], np.searchsorted(part, x[mine])] = 1
+        to = np.searchsorted(part, y)
+        theirs = np.flatnonzero(part[np.minimum(to, len(part) - 1)] == y)
+        all_[row_y[theirs], to[theirs]] = 1
+        out += one @ all_.T
+    light = np.flatnonzero(~heavy & (often > 0))
+    ends = np.cumsum(often[light])
+    at = 0
+    while at < len(light):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        some = light[at:stop]
+        n = often[some]
+        place = np.arange(int(n.sum())) + np.repeat(lo[some] - np.cumsum(n) + n, n)
+        out += np.bincount(np.repeat(row_x[some], n) * len(every) + row_y[place], minlength=out.size).reshape(out.shape)
+        at = stop
+    return out
+
+
+def alike(own: np.ndarray, every: np.ndarray, open_: np.ndarray, n: np.ndarray, sig: np.ndarray, few: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of ``open_`` (booleans, own x every) may reach the threshold. own, every: positions in n, sig and few.
+
+    Sizes must allow it. Small sets are compared whole. Of others the signatures must
+    agree in all but ``SIGMAS`` standard deviations of the threshold's bins; of pairs
+    right at 80 % about 1 in 10 million (binomial tail) falls below that, as many as
+    share no bucket at all.
+    """
+    x, y = n[own], n[every]
+    open_ = open_ & (100 * np.minimum(x[:, None], y[None]) >= percent * np.maximum(x[:, None], y[None]))
+    out = np.zeros_like(open_)
+    small, small_too = (np.array([f is not None for f in few[k]], bool) for k in (own, every))
+    i = np.flatnonzero(small & (open_ & small_too).any(1))
+    j = np.flatnonzero(small_too & (open_ & small[:, None]).any(0))
+    if len(i) and len(j):
+        both = overlaps(few[own[i]].tolist(), few[every[j]].tolist())
+        total = x[i][:, None] + y[j][None] - both
+        out[np.ix_(i, j)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
+    large, large_too = np.flatnonzero(~small & open_.any(1)), np.flatnonzero(~small_too)
+    if len(large) and len(large_too):
+        a, b = (np.frombuffer(b"".join(sig[k]), np.uint16).reshape(len(k), BINS) for k in (own[large], every[large_too]))
+        share = percent / 100
+        for k, row in zip(large, a, strict=True):
+            to = np.flatnonzero(open_[k, large_too])
+            least = share - SIGMAS * np.sqrt(share * (1 - share) / np.minimum(BINS, np.minimum(y[large_too[to]], x[k])))
+            out[k, large_too[to]] = (b[to] == row).mean(1) >= least
+    return out & open_
+
+
+def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 300, tasks: int = 64) -> DataFrame:
     """Candidate edges (a < b) between different components of a bucket, in blocks.
 
-    A bucket of m members is dealt over ceil(m / block) blocks and compared block by
-    block, so no task holds more than two blocks of it. A pair comes from every band
-    that it shares, once at the end. sigs: (id, n, sig, few).
+    The members of a bucket are dealt once over blocks of about ``block``. Those
+    outside the bucket's largest component meet every block, so rows are copied in
+    proportion to them alone, and a task holds two blocks. A pair is compared in the
+    first band whose bucket it shares. sigs: (id, n, bands, sig, few).
     """
     members = rows.select("band", "hash", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members, "members")
-    mixed = members.groupBy("band", "hash").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    mixed = cut(mixed.select("band", "hash", F.ceil(F.col("m") / block).cast("int").alias("parts")), "mixed")
-    dealt = members.join(mixed, ["band", "hash"]).join(sigs, "id").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.select("band", "hash", "id", "label", "n", "sig", "few", "part", other.alias("other"))
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+    sizes = members.groupBy("band", "hash", "label").agg(F.count("*").alias("own"))
+    top = F.max(F.struct("own", "label"))["label"]
+    mixed = sizes.groupBy("band", "hash").agg(F.sum("own").alias("m"), (F.sum("own") - F.max("own")).alias("rest"), top.alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    parts = [F.ceil(F.col(c) / block).cast("int").alias(name) for c, name in (("m", "parts"), ("rest", "sides"))]
+    mixed = cut(mixed.select("band", "hash", "top", "m", "rest", *parts), "mixed")
+    dealt = members.join(mixed, ["band", "hash"]).withColumn("mark", F.xxhash64("id", "band")).withColumn("outside", F.col("label") != F.col("top"))
+    every = dealt.withColumn("i", F.pmod("mark", "parts").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("own", F.lit(False))
+    own = dealt.filter("outside").withColumn("j", F.pmod("mark", "sides").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(True))
+    # small buckets share a group, whose size stays near that of two blocks
+    total = mixed.agg(F.sum(F.col("m") * F.col("sides") + F.col("rest") * F.col("parts")).alias("n")).first()["n"] or 0
+    pack = F.pmod(F.xxhash64("band", "hash"), F.lit(max(tasks, int(total) // (4 * block)))).alias("pack")
+    columns = ["band", "hash", "i", "j", "id", "label", "outside", "own"]
+    both = every.select(pack, *columns).union(own.select(pack, *columns)).join(sigs, "id").repartition(tasks, "pack", "i", "j")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, lab, part = (group[c].to_numpy() for c in ("id", "label", "part"))
-        one = group["i"].iat[0] == group["j"].iat[0]
-        # rows of the largest component needn't meet each other
-        names, counts = np.unique(lab, return_counts=True)
-        own = np.flatnonzero(lab != names[counts.argmax()])
-        fits = alike(group, own, percent) & (lab[own][:, None] != lab[None])
-        if not one:
-            fits &= part[own][:, None] != part[None]
-        i, j = np.nonzero(fits)
-        i, inside = own[i], np.isin(np.arange(len(ids)), own)
-        once = ~inside[j] | (ids[i] < ids[j])
-        i, j = i[once], j[once]
-        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-    return dealt.groupBy("band", "hash", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        group = group.sort_values(["band", "hash"])
+        band, ids, label, n = (group[c].to_numpy() for c in ("band", "id", "label", "n"))
+        is_own, outside, keys = group["own"].to_numpy(), group["outside"].to_numpy(), np.array(group["bands"].tolist(), np.int64)
+        sig, few = group["sig"].to_numpy(object), group["few"].to_numpy(object)
+        marks = group["hash"].to_numpy()
+        turns = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (band[1:] != band[:-1]), [True]]))
+        found = [np.empty((2, 0), np.int64)]
+        for lo, hi in zip(turns[:-1], turns[1:], strict=True):
+            own, every = lo + np.flatnonzero(is_own[lo:hi]), lo + np.flatnonzero(~is_own[lo:hi])
+            # two that are both outside meet twice: the smaller id's turn counts
+            open_ = (label[own][:, None] != label[every][None]) & (~outside[every][None] | (ids[own][:, None] < ids[every][None]))
+            if band[lo]:
+                for k in range(len(own)):
+                    to = np.flatnonzero(open_[k])
+                    open_[k, to] = (keys[every[to], : band[lo]] != keys[own[k], : band[lo]]).all(1)
+            if open_.any():
+                i, j = np.nonzero(alike(own, every, open_, n, sig, few, percent))
+                found.append(np.stack([ids[own[i]], ids[every[j]]]))
+        a, b = np.concatenate(found, 1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    out = cut(both.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "across")
+    drop(members, mixed)
+    return out
 
 
 def linked(docs: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -284,18 +337,40 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(sketch(docs, shingle), "sketch")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _groups(docs, shingle, percent)
+    # rows are numbered in the stead of ids; a group's smallest id follows from its rows
+    rows = cut(docs.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = cut(_groups(rows.select(F.col("id").alias("doc_id"), "text"), shingle, percent).filter("doc_id is not null").select(F.col("doc_id").alias("id"), "n_shingles", F.col("component_id").alias("part")), "found")
+    ids = found.join(rows.select("id", "doc_id"), "id")
+    first = ids.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    known = ids.join(first, "part").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return known.union(_groups(rows.filter("id is null").select(F.col("id").alias("doc_id"), "text"), shingle, percent))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of (doc_id, text), where no id but null stands in several rows."""
+    few = -(-FEW * 100 // percent)  # so that a set without ``few`` can't reach one of up to FEW
+    sketched = cut(sketch(docs, shingle, few), "sketch")
     classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = cut(sketched.join(classes, (sketched.doc_id == classes.id) & (sketched.set_key == classes.set_key), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few").distinct(), "reps")
+    reps = cut(sketched.join(classes.select("id"), sketched.doc_id == classes.id, "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few"), "reps")
     rows = buckets_of(reps.select("id", F.posexplode("bands").alias("band", "hash")))
-    first = linked(docs, cut(stars(rows), "candidates"), shingle, percent)
+    candidates = cut(stars(rows), "candidates")
+    first = linked(docs, candidates, shingle, percent)
     labels = components(first)
-    rest = cut(across(rows, labels, reps.select("id", "n", "sig", "few"), percent), "candidates")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = across(rows, labels, reps.select("id", "n", "bands", "sig", "few"), percent, tasks=tasks)
+    drop(candidates, reps, rows)
     if not rest.isEmpty():
         more = linked(docs, rest, shingle, percent)
         if not more.isEmpty():
-            labels = components(cut(first.union(more), "links"))
-    out = sketched.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("rep"))
+            links = cut(first.union(more), "links")
+            drop(labels)
+            labels = components(links)
+            drop(links)
+        drop(more)
+    drop(rest, first)
+    out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("rep"))
     out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -249,15 +249,60 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_pairs_whose_short_signatures_agree_in_an_earlier_band(spark):
-    # the 16-bit signatures agree in band 0, where the buckets differ; the pair shares the bucket of band 3 only
+def test_a_pair_is_compared_in_its_first_shared_bucket(spark):
+    # the 16-bit signatures agree, the 64-bit bands only in band 3
     sig = np.arange(neardup.BINS, dtype=np.uint16).tobytes()
-    rows = spark.createDataFrame([(0, 11, 1), (0, 12, 2), (3, 13, 1), (3, 13, 2)], "band int, hash long, id long")
-    sigs = spark.createDataFrame([(i, 1000, sig, None) for i in (1, 2)], "id long, n long, sig binary, few binary")
+    rows = spark.createDataFrame([(0, 11, 1), (0, 12, 2), (3, 13, 1), (3, 13, 2), (5, 14, 1), (5, 14, 2)], "band int, hash long, id long")
+    sigs = spark.createDataFrame([(i, 1000, [10 + i, 0, 5 + i, 13, 7, 14] + [i] * 26, sig, None) for i in (1, 2)], "id long, n long, bands array<long>, sig binary, few binary")
     labels = spark.createDataFrame([], "id long, label long")
+    assert [tuple(r) for r in neardup.across(rows, labels, sigs, 80).collect()] == []  # band 1 is shared, too, so it is compared there
+    sigs = sigs.withColumn("bands", F.transform("bands", lambda x, k: F.when(k == 1, F.col("id")).otherwise(x)))
     assert [tuple(r) for r in neardup.across(rows, labels, sigs, 80).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_overlaps_against_sets(seed):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(r.integers(0, (40, 300, 5000, 100_000)[seed], r.integers(0, 90))).astype(np.uint32) for _ in range(70)]
+    got = neardup.overlaps([x.tobytes() for x in sets[:30]], [x.tobytes() for x in sets], most=500)
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets[:30]]
+
+
+def test_buckets_in_small_blocks_give_the_same_links(spark):
+    r = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for k in r.choice(60, r.integers(0, 7), replace=False):
+            w[k] = f"x{r.integers(4)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d: root for d, (_, root) in brute_components(docs, 3, 80).items()}
+    assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, shingle=3).collect()} == want and len(set(want.values())) > 5
+    old = neardup.across.__defaults__
+    try:
+        neardup.across.__defaults__ = (7, 5)
+        assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, shingle=3).collect()} == want
+    finally:
+        neardup.across.__defaults__ = old
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    a, b, c = (" ".join(f"{n}{i}" for i in range(30)) for n in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, a), (4, ""), (5, c), (5, c), (6, c + " x"), (2, c), (None, a), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(df, shingle=4).collect())
+    assert got == Counter([(1, 27, 1, True), (2, 27, 1, False), (2, 27, 2, True), (3, 27, 2, False), (4, 27, 1, False), (4, 0, 4, True), (5, 27, 2, False), (5, 27, 2, False), (6, 28, 2, False), (2, 27, 2, True), (None, 27, None, True), (None, 0, None, True)])
+
+
+def test_near_duplicates_of_a_whole_table_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in queries.op9_minhash(spark, d).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     r = np.random.default_rng(8)
     x = r.standard_normal((700, 16)).astype(np.float32)
