@@ -3,16 +3,21 @@
 Equal vectors form a class and are indexed once. Classes are dealt by a hash over
 shards of about ``shard_rows``, so that no task ever holds more than a shard.
 
-* Build: every class starts with its best neighbours in a random block of its shard.
-  Then, again and again, Spark joins bring neighbours of neighbours together: the
-  members of each class's neighbourhood (its neighbours and some of those that have
-  it as theirs) are compared with each other, pairs with a new member only, on
-  vectors quantised to bytes, and each keeps its best ``degree``. This ends after
-  ``rounds``, or when fewer than ``least_change`` of all entries change.
-* Search: the queries are a stated set. Each block of queries walks each shard's
-  graph greedily, best candidates first, from random entries, with a beam of
-  ``beam``; scores are exact, in double precision, on the original vectors. Results
-  of all shards are merged, and classes give their members.
+* Build: every class starts with its best neighbours in a few random blocks of its
+  shard, an eighth of it and ``block_rows`` at most. Then, again and again, Spark joins
+  bring neighbours of neighbours together: the members of each class's neighbourhood
+  (its neighbours and some of those that have it as theirs) are compared with each
+  other, pairs with a new member only, on vectors quantised to bytes, and each keeps
+  its best ``degree``. This ends after ``rounds``, or when fewer than ``least_change``
+  of all entries change.
+* Each shard's classes, vectors and neighbours, with edges back, are written to one
+  file in the shared folder.
+* Search: the queries are a stated set. They are dealt over tasks, ``query_rows`` for
+  each shard; a task reads the shard's file and walks its graph greedily, best
+  candidates first, from a few random entries and from the query's own class's
+  neighbours if the shard holds it, with a beam of ``beam``; scores are exact, in double
+  precision, on the original vectors. Results of all shards are merged, and classes
+  give their members. The index is neither shuffled nor copied for the queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do rows with a null id. Of rows that share an id the one with the smallest vector
@@ -23,14 +28,17 @@ without candidates gives no rows. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyloom.storage import cut, drop
+from canopyloom.storage import cut, drop, fresh_path, open_fs, small_side
 
 #: Shards of one dimension are numbered within this range.
 STRIDE = 1 << 32
@@ -69,8 +77,8 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
-def start(index: DataFrame, blocks: Column, degree: int, turns: int = 3) -> DataFrame:
-    """(id, near): each class's best neighbours in ``turns`` random blocks of its shard.
+def start(index: DataFrame, degree: int, turns: int = 3) -> DataFrame:
+    """(id, near): each class's best neighbours in ``turns`` random blocks of its shard. index: (shard, id, v, blocks).
 
     Blocks of several turns overlap, which connects them for the rounds that follow.
     """
@@ -85,7 +93,7 @@ def start(index: DataFrame, blocks: Column, degree: int, turns: int = 3) -> Data
                 near.append([{"s": round(float(row[c]), 4), "id": int(ids[c]), "fresh": True} for c in cols if row[c] > -np.inf])
         return pd.DataFrame({"id": ids, "near": near})
 
-    dealt = index.select("shard", "id", "v", F.explode(F.array(*map(F.lit, range(turns)))).alias("turn")).withColumn("block", F.pmod(F.xxhash64("turn", "id"), blocks))
+    dealt = index.select("shard", "id", "v", "blocks", F.explode(F.array(*map(F.lit, range(turns)))).alias("turn")).withColumn("block", F.pmod(F.xxhash64("turn", "id"), "blocks"))
     each = dealt.groupBy("shard", "turn", "block").applyInPandas(compare, "id long, near array<struct<s:float,id:long,fresh:boolean>>")
     merged = F.array_distinct(F.flatten(F.collect_list("near")))
     return each.groupBy("id").agg(F.slice(F.sort_array(merged, asc=False), 1, degree).alias("near"))
@@ -140,13 +148,9 @@ def descend(graph: DataFrame, small: DataFrame, degree: int, reverse: int, turn:
     return joined.select("id", near.alias("near")).withColumn("changed", F.size(F.filter("near", lambda x: x["fresh"])))
 
 
-def build(index: DataFrame, sizes: dict[int, int], degree: int, rounds: int, least_change: float, block_rows: int, reverse: int) -> DataFrame:
-    """(id, near): the neighbour graph. index: (shard, id, v)."""
-    most = max(sizes.values())
-    blocks = -(-most // block_rows)
-    graph = cut(start(index, F.lit(blocks), degree, 3 if blocks > 1 else 1), "graph")
-    if most <= block_rows:  # a block is a whole shard: nothing is left to find
-        return graph.select("id", F.transform("near", lambda x: x["id"]).alias("near"))
+def build(index: DataFrame, classes: int, degree: int, rounds: int, least_change: float, reverse: int) -> DataFrame:
+    """(id, near): the neighbour graph of ``classes`` classes. index: (shard, id, v, blocks)."""
+    graph = cut(start(index, degree), "graph")
     top = F.array_max(F.transform("v", lambda x: F.abs(x))) / 127
 
     @F.pandas_udf("binary")
@@ -154,45 +158,89 @@ def build(index: DataFrame, sizes: dict[int, int], degree: int, rounds: int, lea
         return pd.Series([np.rint(np.asarray(x, np.float32) / t).astype(np.int8).tobytes() for x, t in zip(v, scale, strict=True)])
 
     small = cut(index.select("id", top.cast("float").alias("scale"), quantise("v", top).alias("q")), "small")
-    total = sum(sizes.values()) * degree
     for turn in range(rounds):
         after = cut(descend(graph, small, degree, reverse, turn), "graph")
         changed = after.agg(F.sum("changed").alias("n")).first()["n"] or 0
         drop(graph)
         graph = after.drop("changed")
-        if changed < least_change * total:
+        if changed < least_change * classes * degree:
             break
     drop(small)
     return graph.select("id", F.transform("near", lambda x: x["id"]).alias("near"))
 
 
+def write_shards(held: DataFrame, folder: str, degree: int) -> DataFrame:
+    """(shard, path): each shard of ``held`` (shard, id, v, near) as a file below ``folder``.
+
+    A task that runs again writes a new file; only those in the result count.
+    """
+
+    def save(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id")
+        ids, x = own["id"].to_numpy(), matrix(own["v"])
+        near = [np.asarray([] if y is None else y, np.int64) for y in own["near"]]
+        data, path = io.BytesIO(), f"{folder}/{uuid.uuid4().hex}.npz"
+        np.savez(data, ids=ids, x=x, near=neighbourhoods(ids, near, degree))
+        fs, at = open_fs(path)
+        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(at, compression=None) as f:
+            f.write(data.getbuffer())
+        return pd.DataFrame({"shard": own["shard"].iloc[:1], "path": [path]})
+
+    return cut(held.groupBy("shard").applyInPandas(save, "shard long, path string"), "shards")
+
+
+def neighbourhoods(ids: np.ndarray, near: list[np.ndarray], degree: int) -> np.ndarray:
+    """For each class the places of its neighbours and of up to ``degree`` classes that have it as theirs; filled up with len(ids)."""
+    n = len(ids)
+    a, b = np.repeat(np.arange(n), [len(y) for y in near]), np.concatenate([*near, np.empty(0, np.int64)])
+    at = np.minimum(np.searchsorted(ids, b), max(0, n - 1))
+    held = ids[at] == b if n else np.empty(0, bool)
+    a, b = a[held], at[held]
+    out = np.full((n, 2 * degree), n, np.int32)
+    for x, y, column in ((a, b, 0), (b, a, degree)):
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        place = np.arange(len(x)) - np.searchsorted(x, x)
+        some = place < degree
+        out[x[some], column + place[some]] = y[some]
+    return out
+
+
+@lru_cache(1)
+def walker(path: str) -> "Walker":
+    """The shard of a file; a worker process keeps the last one."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        held = np.load(io.BytesIO(f.read()))
+    return Walker(held["ids"], held["x"], held["near"])
+
+
 class Walker:
-    """Greedy search of a shard: ids, vectors and neighbours of its classes."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, near: list, degree: int):
-        self.ids, self.x, self.n = ids, x, len(ids)
-        place = {int(i): k for k, i in enumerate(ids)}
-        back: list[list[int]] = [[] for _ in ids]
-        own = [[place[int(j)] for j in row if int(j) in place] for row in near]
-        for i, row in enumerate(own):
-            for j in row:
-                if len(back[j]) < degree:
-                    back[j].append(i)
-        self.near = np.full((self.n, 2 * degree), self.n)
-        for i, (a, b) in enumerate(zip(own, back, strict=True)):
-            row = list(dict.fromkeys(a + b))
-            self.near[i, : len(row)] = row
-
-    def search(self, q: np.ndarray, k: int, beam: int, width: int = 8, entries: int = 48) -> list[list[tuple[int, float]]]:
-        """For each query (row of q) its k best (id, score) found, best first; scores in double precision."""
+    """Greedy search of a shard: ids, vectors and neighbourhoods of its classes. ``scored`` counts the vectors compared with a query."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, near: np.ndarray):
+        self.ids, self.x, self.n, self.scored = ids, x, len(ids), 0
+        self.near = np.concatenate([near, np.full_like(near[:1], len(ids))])  # the place len(ids) stands for none
+
+    def search(self, q: np.ndarray, home: np.ndarray, k: int, beam: int, width: int = 16) -> list[list[tuple[int, float]]]:
+        """For each query (row of q, whose own class is ``home`` or -1) its k best (id, score) found, best first; scores in double precision."""
         nq, n, x = len(q), self.n, self.x
         row = np.arange(nq)[:, None]
+        place = np.minimum(np.searchsorted(self.ids, home), n - 1)
+        here = self.ids[place] == home
+        begin = np.random.Generator(np.random.PCG64(1)).permutation(n)[:48]
+        own = np.where(here[:, None], self.near[place], n)
+        at = np.concatenate([np.where(here, place, n)[:, None], own, np.broadcast_to(begin, (nq, len(begin)))], 1)
+        at.sort(axis=1)
+        at[:, 1:][at[:, 1:] == at[:, :-1]] = n
+        score = np.einsum("qkd,qd->qk", x[np.minimum(at, n - 1)], q)
+        score[at == n] = -np.inf
+        self.scored += int((at < n).sum())
         seen = np.zeros((nq, n + 1), bool)
-        begin = np.random.Generator(np.random.PCG64(1)).permutation(n)[:entries]
-        at = np.broadcast_to(begin, (nq, len(begin))).copy()
-        score = q @ x[begin].T
         seen[row, at] = True
-        done = np.zeros(at.shape, bool)
+        seen[:, n] = False
+        done = at == n
         while True:
             pick = np.where(done, -np.inf, score)
             cols = best(pick, width)
@@ -208,6 +256,7 @@ class Walker:
             seen[:, n] = False
             keep = new.min(axis=0) < n
             new = new[:, keep]
+            self.scored += int((new < n).sum())
             if new.shape[1]:
                 s = np.einsum("qkd,qd->qk", x[np.minimum(new, n - 1)], q)
                 s[new == n] = -np.inf
@@ -228,47 +277,45 @@ def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    shard_rows: int = 8192,
+    shard_rows: int = 65_536,
     block_rows: int = 1024,
     degree: int = 24,
     reverse: int = 16,
-    rounds: int = 4,
-    least_change: float = 0.02,
-    beam: int = 160,
-    query_rows: int = 512,
+    rounds: int = 5,
+    least_change: float = 0.05,
+    beam: int = 400,
+    query_rows: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """Each query's k nearest found: query_id, rank (from 1), vec_id, score. A query isn't its own neighbour."""
+    spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector_col)
     index = cut(classes(rows, k + 1), "classes")
     total = index.count()
     shard = F.size("v") * F.lit(STRIDE) + F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // shard_rows))))
     index = cut(index.withColumn("shard", shard), "index")
-    sizes = {r["shard"]: r["n"] for r in index.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard_rows rows
-    asked = cut(valid(queries, id_col, vector_col), "queries")
+    sizes = cut(index.groupBy("shard").agg(F.greatest(F.lit(8), F.ceil(F.count("*") / block_rows)).alias("blocks")), "sizes")
+    dealt = index.select("shard", "id", "v").join(small_side(sizes, 16), "shard")
+    graph = build(dealt, total, degree, rounds, least_change, reverse)
+    files = write_shards(dealt.drop("blocks").join(graph, "id", "left"), fresh_path(spark, "shard-files"), degree)
+
+    own = index.select("v", F.col("id").alias("home"))
+    asked = cut(valid(queries, id_col, vector_col).join(own, "v", "left"), "queries")
     parts = max(1, -(-asked.count() // query_rows))
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = build(index.select("shard", "id", "v"), sizes, degree, rounds, least_change, block_rows, reverse)
-    held = index.select("shard", "id", "v").join(graph, "id", "left")
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    shards = F.filter(F.array(*(F.lit(s) for s in sorted(sizes))), lambda s: F.shiftright(s, 32) == F.size("v"))
-    dealt = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(shards))
-
-    def walk(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+    here = F.shiftright(F.col("shard"), 32) == F.size("v")
+    each = asked.join(small_side(files, 160), here).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int"))
+
+    def walk(ask: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(own) and len(ask):
-            own = own.sort_values("id")
-            near = [x if x is not None else [] for x in own["near"]]
-            walker = Walker(own["id"].to_numpy(), matrix(own["v"]), near, degree)
-            for i in range(0, len(ask), 256):
-                some = ask.iloc[i : i + 256]
-                found = walker.search(matrix(some["v"]), k + 1, beam)
-                out += [(int(q), c, s) for q, hits in zip(some["id"], found, strict=True) for c, s in hits]
+        held = walker(ask["path"].iat[0])
+        for i in range(0, len(ask), 128):
+            some = ask.iloc[i : i + 128]
+            found = held.search(matrix(some["v"]), some["home"].fillna(-1).to_numpy(np.int64), k + 1, beam)
+            out += [(int(q), c, s) for q, hits in zip(some["id"], found, strict=True) for c, s in hits]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
-    hits = held.groupBy("shard", "part").cogroup(dealt.select("shard", "part", "id", "v").groupBy("shard", "part")).applyInPandas(walk, "query_id long, id long, score double")
+    hits = each.repartition(parts, "path", "part").groupBy("path", "part").applyInPandas(walk, "query_id long, id long, score double")
     hits = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("top"))
     hits = hits.select("query_id", F.explode("top").alias("t")).select("query_id", (-F.col("t.s")).alias("score"), F.col("t.id").alias("id"))
     each = hits.join(index.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")

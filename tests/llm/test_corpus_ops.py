@@ -310,7 +310,7 @@ def test_nearest_neighbours_recall_and_ties(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16), (5, [float(c) for c in x[5]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
     got = defaultdict(list)
-    for h in nndescent.search(df, df.filter("vec_id % 20 = 0"), k=20, shard_rows=250, block_rows=64, rounds=5).orderBy("query_id", "rank").collect():
+    for h in nndescent.search(df, df.filter("vec_id % 20 = 0"), k=20, shard_rows=250, block_rows=24, query_rows=9).orderBy("query_id", "rank").collect():
         got[h["query_id"]].append((h["vec_id"], h["score"]))
     full, hits = x.astype(np.float64), []
     for q in range(0, 700, 20):
@@ -324,6 +324,41 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert [h["rank"] for h in few] == [1, 2, 3] and nndescent.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_nearest_neighbours_of_a_whole_table(spark, sf):
+    """The query as it is registered, against brute force in double precision."""
+    t = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, place = np.array(t["embedding"].tolist(), np.float64), {v: i for i, v in enumerate(t["vec_id"])}
+    got = defaultdict(list)
+    for h in queries.op10_nn_descent(spark, f"/root/testdata/sf{sf}").orderBy("query_id", "rank").collect():
+        got[h["query_id"]].append((h["vec_id"], h["score"]))
+    hits = []
+    for q in t["vec_id"][t["vec_id"] % 20 == 0]:
+        s = x @ x[place[q]]
+        s[place[q]] = -np.inf
+        want = {int(t["vec_id"][i]) for i in np.argsort(-s, kind="stable")[:20]}
+        assert len(got[q]) == 20 and [v for _, v in got[q]] == pytest.approx([s[place[i]] for i, _ in got[q]])
+        hits.append(len(want & {i for i, _ in got[q]}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_the_walk_visits_a_small_share_of_a_shard():
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((300, 24))
+    x = (centres[r.integers(0, 300, 6000)] + 0.5 * r.standard_normal((6000, 24))).astype(np.float32)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    ids = np.arange(6000) * 3
+    near = [ids[np.argsort(-row)[:24]] for row in s]
+    w = nndescent.Walker(ids, x, nndescent.neighbourhoods(ids, near, 24))
+    for home in (ids[:200], np.full(200, -1)):
+        w.scored = 0
+        found = w.search(x[:200], home, 21, 100)
+        want = [{*ids[np.argsort(-row)[:20]].tolist(), int(i)} for row, i in zip(s[:200], ids, strict=False)]
+        assert np.mean([len(a & {i for i, _ in b}) / len(a) for a, b in zip(want, found, strict=True)]) > 0.9
+        assert w.scored / 200 / 6000 < 0.25
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as c
 
