@@ -143,6 +143,24 @@ def test_decontamination_beyond_the_radius():
     assert got == brute_leaks(docs, rows, 0.3) and len(got) > 20
 
 
+def test_hamming_blocks_select():
+    """Each step leaves fewer pairs; a long run is fingerprinted in steps and finds the same."""
+    r = np.random.default_rng(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choice(vocab, 30))) for i in range(150)]
+    text = " ".join([" ".join(r.choice(vocab, 40)) + " " + x for _, x in rows] * 2)
+    items = decontam.Items(rows, 5, 7)
+    got = sorted(items.search(text, 0.8))
+    assert [x[0] for x in got] == list(range(150)) and all(x[3:] == (0, 1.0) for x in got)
+    left = items.left
+    assert left["blocks"] < left["windows"] / 20 and left["radius"] < left["blocks"] / 10 and left["radius"] >= left["similar"] >= 300
+    try:
+        decontam.STEP = 7
+        assert sorted(decontam.Items(rows, 5, 7).search(text, 0.8)) == got
+    finally:
+        decontam.STEP = 4096
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     r = np.random.default_rng(9)
     items = decontam.Items([(i, " ".join(r.choice([f"w{j}" for j in range(50)], 20))) for i in range(30)], 5, 20)
