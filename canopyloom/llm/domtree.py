@@ -5,6 +5,11 @@ element around them. A leaf is the text between two block boundaries. Text of
 scripts, styles, form controls, frames, templates and the page's head is markup and
 makes no leaf. Formulas are inline text; text in noscript, object, audio, video,
 canvas and svg makes leaves like any other. Unclosed and stray tags are accepted.
+Character references are decoded run by run, so none arises across tags.
+
+Reading takes time in proportion to the page's length: elements nest ``DEPTH`` deep at
+most (deeper ones only end a run of text), and a page of which ``STRAY`` tags have a
+quote that never ends is read without regard to quotes from there on.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ CLOSES = {
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+DEPTH, STRAY = 500, 50
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
@@ -61,11 +68,11 @@ def read(html: str) -> list[Node]:
     def flush() -> None:
         nonlocal run, linked
         if run:
-            text = _SPACE.sub(" ", unescape("".join(run))).strip()
+            text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
                 parent = next(i for i in reversed(stack) if i >= 0)
                 leaf = Node("", "", parent)
-                leaf.text, leaf.links = text, len(_SPACE.sub(" ", unescape("".join(linked))).strip())
+                leaf.text, leaf.links = text, len(_SPACE.sub(" ", "".join(linked)).strip())
                 nodes.append(leaf)
             run, linked = [], []
 
@@ -84,20 +91,58 @@ def read(html: str) -> list[Node]:
             if links > 0:
                 linked.append(text)
 
-    at, size = 0, len(html)
+    size, stray = len(html), 0
+
+    def tag_end(i: int) -> int:
+        """Where the tag whose attributes begin at i has its ">"; -1 if nowhere."""
+        nonlocal stray
+        k = i
+        while stray < STRAY:
+            k = _UNQUOTED.match(html, k).end()
+            if k < size and html[k] == ">":
+                return k
+            k = html.find(html[k], k + 1) + 1 if k < size else 0
+            if not k:
+                stray += 1
+                break
+        return html.find(">", i)
+
+    at, cdata = 0, True
     while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            say(html[at:])
+        lt = html.find("<", at)
+        if lt < 0:
+            say(unescape(html[at:]))
             break
-        say(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            say(m[1].replace("&", "&amp;"))
-            continue
-        close, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if not tag:
+        m = _OPEN.match(html, lt)
+        if m is None:
+            if html.startswith("<!--", lt):
+                say(unescape(html[at:lt]))
+                at = html.find("-->", lt + 4) + 3
+                if at < 3:
+                    break
+                continue
+            if cdata and html.startswith("<![CDATA[", lt):
+                end = html.find("]]>", lt)
+                cdata = end >= 0
+                if cdata:
+                    say(unescape(html[at:lt]))
+                    say(html[lt + 9 : end])
+                    at = end + 3
+                    continue
+            end = html.find(">", lt) if html[lt + 1 : lt + 2] in ("!", "?") else lt
+            if end < 0:
+                say(unescape(html[at:]))
+                break
+            say(unescape(html[at : lt + (end == lt)]))
+            at = end + 1
             continue
+        end = tag_end(m.end())
+        if end < 0:
+            say(unescape(html[at:]))
+            break
+        say(unescape(html[at:lt]))
+        at = end + 1
+        close, tag, rest = m[1], m[2], html[m.end() : end]
         tag = tag.lower()
         if close:
             if tag in names[1:]:
@@ -147,13 +192,13 @@ def read(html: str) -> list[Node]:
             if not rest.endswith("/") and tag in RAW:
                 end = _RAW_END[tag].search(html, at)
                 at = end.start() if end else size
-            if not rest.endswith("/"):
+            if not rest.endswith("/") and len(names) < DEPTH:
                 stack.append(-1)
                 names.append(tag)
                 silent += 1
             continue
         flush()
-        if rest.endswith("/") and tag not in ("p", "div"):
+        if rest.endswith("/") and tag not in ("p", "div") or len(names) >= DEPTH:
             continue
         parent = next(i for i in reversed(stack) if i >= 0)
         nodes.append(Node(tag, rest, parent))

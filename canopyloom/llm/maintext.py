@@ -8,7 +8,9 @@ and back once, which gives every node's exact marginal. Runs of text with a
 marginal of at least ``threshold`` are the main text, in page order.
 
 Potentials are trained on labelled pages by the conditional likelihood's gradient:
-observed features minus those expected under the marginals.
+observed features minus those expected under the marginals. ``python -m
+canopyloom.llm.maintext`` trains them anew and writes main_text_model.json, which
+``default_model`` reads.
 
 A null or empty page, and one without content, has the empty text. Rows that
 repeat or have a null id or url stay as they are. An empty table gives an empty
@@ -17,11 +19,13 @@ table. Columns other than id, url and html are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log, log1p
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,14 +44,20 @@ NAMES = {
     "comment": "comment comments commentlist reply replies discussion responses disqus respond thread feedback reader",
     "share": "share shares sharing social tags tag meta byline author bio follow tools credits",
     "form": "form login search signup signin register contact",
-    "content": "article content post entry main story body text page-content prose",
+    "content": "article content post entry main story body text page-content prose question answer maincontent",
 }
 NAMED = {w: group for group, ws in NAMES.items() for w in ws.split()}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def group(word: str) -> str | None:
+    """The group of a name, or of the longest name of four letters or more that it begins with."""
+    return NAMED.get(word) or next((NAMED[word[:n]] for n in range(len(word) - 1, 3, -1) if word[:n] in NAMED), None)
+
+
 def features(node: Node) -> list[str]:
+    """What a node alone tells."""
     if node.tag:
         out = ["bias:element", "tag:" + (node.tag if node.tag not in HEADINGS else "h")]
         if node.tag == "h1":
@@ -55,12 +65,15 @@ def features(node: Node) -> list[str]:
         if node.attributes:
             own = attributes(node.attributes)
             words = {w.lower() for k in ("class", "id", "role", "aria-label") for w in _PART.findall(own.get(k, ""))}
-            out += sorted({"name:" + NAMED[w] for w in words if w in NAMED}) or ["name:other"] * bool(words)
+            out += sorted({"name:" + g for g in map(group, words) if g}) or ["name:other"] * bool(words)
         return out
     n = len(node.text)
     out = ["bias:text", f"length:{min(6, int(log1p(n)))}"]
     if node.links:
-        out.append(f"links:{min(3, int(4 * node.links / n))}")
+        share = min(3, int(4 * node.links / n))
+        out += [f"links:{share}", f"links:{share}:{min(5, int(log1p(n)))}"]
+        if node.text[-1] in ".!?":
+            out.append(f"links:{share}:ends")
     if node.text[-1] in ".!?\"'”»":
         out.append("ends")
     if "©" in node.text or "·" in node.text:
@@ -75,6 +88,22 @@ def _element_features(tag: str, source: str) -> tuple[str, ...]:
     return tuple(features(Node(tag, source, 0)))
 
 
+def bulk(nodes: list[Node]) -> list[tuple[str, ...]]:
+    """For each element how much text it holds and which share of it stands in links, for a text nothing."""
+    chars, links, sentences = ([0] * len(nodes) for _ in range(3))
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        if not node.tag:
+            chars[i], links[i], sentences[i] = len(node.text), node.links, ". " in node.text or node.text[-1] in ".!?"
+        if i:
+            for x in (chars, links, sentences):
+                x[node.parent] += x[i]
+    out: list[tuple[str, ...]] = []
+    for node, c, k, e in zip(nodes, chars, links, sentences, strict=True):
+        out.append((f"bulk:{min(4, int(log1p(c) / 1.6))}", f"linked:{min(3, int(4 * k / c))}", f"said:{min(3, e)}") if node.tag and c else ())
+    return out
+
+
 class Model:
     """unary: weight of a feature for the state content. pair: [kind][parent's state][child's state]."""
 
@@ -84,7 +113,7 @@ class Model:
 
     def evidence(self, nodes: list[Node]) -> list[float]:
         get = self.unary.get
-        return [sum(get(f, 0.0) for f in (_element_features(n.tag, n.attributes) if n.tag else features(n))) for n in nodes]
+        return [sum(get(f, 0.0) for f in (*(_element_features(n.tag, n.attributes) if n.tag else features(n)), *b)) for n, b in zip(nodes, bulk(nodes), strict=True)]
 
     def marginals(self, nodes: list[Node], pairwise: bool = False):
         """P(content) of each node; with ``pairwise`` also P(parent's state, child's state) of each but the root."""
@@ -135,7 +164,7 @@ def train(pages: list[str], rounds: int = 80, rate: float = 0.7, ridge: float =
     for html in pages:
         nodes = read(html)
         labels = label(nodes)
-        data.append((nodes, labels, [features(n) for n in nodes]))
+        data.append((nodes, labels, [[*features(n), *b] for n, b in zip(nodes, bulk(nodes), strict=True)]))
     model, seen = Model(), defaultdict(lambda: 1e-6)
     for _ in range(rounds):
         gradient: dict = defaultdict(float)
@@ -163,9 +192,19 @@ def train(pages: list[str], rounds: int = 80, rate: float = 0.7, ridge: float =
     return model
 
 
+FILE = Path(__file__).with_name("main_text_model.json")
+
+
 @lru_cache(1)
 def default_model() -> Model:
-    return train(labelled_pages.pages())
+    """The trained potentials of the file; read on the driver, workers get them with their task."""
+    told, model = json.loads(FILE.read_text()), Model()
+    model.unary, model.pair = told["unary"], told["pair"]
+    return model
+
+
+def save(model: Model) -> None:
+    FILE.write_text(json.dumps({"unary": {k: round(x, 6) for k, x in sorted(model.unary.items())}, "pair": [[[round(x, 6) for x in row] for row in t] for t in model.pair]}, indent=0) + "\n")
 
 
 def main_text(html: str | None, model: Model, threshold: float = 0.5) -> str:
@@ -185,3 +224,7 @@ def extract(pages: DataFrame, model: Model | None = None, threshold: float = 0.5
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(task, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    save(train(labelled_pages.pages()))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyloom.llm import decontam, labelled_pages, maintext, neardup, nndescent, quality, queries, warc
+from tests.llm import hand_pages
 from tests.llm.test_text_ops import DOCS, odd_docs
 from tests.oracle import normal, rows_of
 
@@ -184,6 +186,33 @@ def test_main_text_on_held_out_pages():
     assert right / total > 0.95
 
 
+def test_main_text_of_hand_written_pages():
+    """At least 28 in 31 blocks right over pages that share no layout code with the training pages."""
+    right = extra = missing = 0
+    for _, html, want in hand_pages.PAGES:
+        text = maintext.main_text(html, maintext.default_model())
+        got, want = Counter(text.split("\n") if text else []), Counter(want)
+        right, extra, missing = right + (got & want).total(), extra + (got - want).total(), missing + (want - got).total()
+    assert len(hand_pages.PAGES) > 30 and right / (right + extra + missing) > 0.9
+
+
+def test_the_models_file_is_what_training_gives():
+    trained, held = maintext.train(labelled_pages.pages()), maintext.default_model()
+    assert held.unary == pytest.approx(trained.unary, abs=1e-4)
+    assert np.array(held.pair) == pytest.approx(np.array(trained.pair), abs=1e-4)
+
+
+@pytest.mark.parametrize("html", ["<a " * 330_000, "<![CDATA[" * 110_000, "<div>" * 160_000, '<a "><a" ' * 110_000, "<p><div>" * 110_000, "<b>" * 300_000, "&" * 1_000_000, "<li>" * 200_000])
+def test_reading_long_odd_pages_takes_linear_time(html):
+    began = time.process_time()
+    maintext.read(html)
+    assert time.process_time() - began < 6
+
+
+def test_references_do_not_arise_across_tags():
+    assert [n.text for n in maintext.read("<p>&<i>lt;</i>script &am<b>p;</b> &lt;</p>") if not n.tag] == ["&lt;script &amp; <"]
+
+
 def test_marginals_against_enumeration():
     from itertools import product
     from math import exp
