@@ -13,19 +13,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH lines AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+), bare AS (
+  SELECT *, trim(line, E' \t\r' || chr(11) || chr(12)) AS key FROM lines
 ), totals AS (
   SELECT source, count(*) AS pages FROM documents GROUP BY source
 ), common AS (
-  SELECT l.source, trim(l.line) AS line FROM lines l JOIN totals t USING (source)
-  WHERE trim(l.line) <> '' GROUP BY l.source, trim(l.line), t.pages
-  HAVING count(DISTINCT doc_id) > 0.05 * t.pages AND t.pages >= 20
+  SELECT l.source, l.key FROM bare l JOIN totals t USING (source)
+  WHERE l.key <> '' GROUP BY l.source, l.key, t.pages
+  HAVING count(DISTINCT doc_id) > 0.01 * t.pages AND count(DISTINCT doc_id) >= 3
 )
 SELECT d.doc_id, d.source,
-  coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.pos) FROM lines l
-            WHERE l.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM common c WHERE c.source = l.source AND c.line = trim(l.line))), '') AS text
+  coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.pos) FROM bare l
+            WHERE l.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM common c WHERE c.source = l.source AND c.key = l.key)), '') AS text
 FROM documents d
 """
 

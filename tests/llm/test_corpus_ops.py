@@ -64,6 +64,42 @@ def test_quality_on_the_held_out_fold(spark):
     assert (held.predicted == held.quality).mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def test_quality_scores_against_a_direct_computation(spark):
+    """Every score of the query from the fitted model's parts, by plain calls of the library; long texts whole."""
+    import zstandard
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in queries.op3_quality(spark, d).collect()}
+    assert got.keys() == rows.keys()
+    codec = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.bad, model.good)]
+    for i, text in rows.items():
+        data = text.encode()
+        parts = [data[k : k + model.chunk] for k in range(0, len(data), model.chunk)]
+        bad, good = (max(1, sum(len(c.compress(x)) - 6 for x in parts)) for c in codec)
+        n = len(data) + 1
+        x = np.clip([(bad - good) / (bad + good), (bad - good) / n, np.log((bad + good) / 2 / n), np.log(n)], model.low, model.high)
+        x = np.array([*x, *(x[a] * x[b] for a in range(4) for b in range(a, 4))])
+        score = 1 / (1 + np.exp(-np.clip((x - model.mean) / model.scale @ model.weights[1:] + model.weights[0], -30, 30)))
+        import zlib
+
+        assert got[i] == (pytest.approx(score, abs=1e-9), int(score >= 0.3), zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_long_texts(spark):
+    """One text of some megabytes through the operators that read texts or pages."""
+    text = " ".join(f"word{i % 5000}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text + " more", "en", "s", 1), (3, "short", "en", "s", 1)], DOCS)
+    items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(40)))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.find(docs, items).orderBy("doc_id").collect()] == [(1, 1, 1.0), (2, 1, 1.0)]
+    assert [r["component_id"] for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1, 3]
+    page = spark.createDataFrame([(1, "u", f"<article><p>{text}</p></article>")], "page_id long, url string, html string")
+    assert maintext.extract(page).first()["text"] == text
+    assert warc.round_trip(spark, page).first()["payload_bytes"] == len(text) + 26
+
+
 def test_quality_edges(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17)] + [(None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")

@@ -28,18 +28,31 @@ def corpus(spark, small):
     return spark.read.parquet(f"{small}/documents.parquet")
 
 
-def test_line_dedup_matches_sql(spark, small):
-    got, want = queries.op1_line_dedup(spark, small).toPandas(), rows_of(queries.ORACLE_SQL["op1_line_dedup"], small)
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_line_dedup_matches_sql(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    got, want = queries.op1_line_dedup(spark, d).toPandas(), rows_of(queries.ORACLE_SQL["op1_line_dedup"], d)
     assert normal(got) == normal(want)
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_line_dedup_both_ways(spark, limit):
-    rows = [(i, f"menu\nown {i}\n\n menu ", "en", "a" if i % 3 else None, 1) for i in range(30)] + [(90, None, "en", "a", 1), (91, "", "en", "a", 1), (92, "menu", "en", "b", 1), (92, "menu", "en", "b", 1)]
+    rows = [(i, f"menu\nown {i}\n\n menu \n\tmenu\r", "en", "a" if i % 3 else None, 1) for i in range(30)] + [(90, None, "en", "a", 1), (91, "", "en", "a", 1), (92, "menu", "en", "b", 1), (92, "menu", "en", "b", 1)]
+    rows += [(100 + i, f"small host\nx{i}", "en", "c", 1) for i in range(3)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("line", F.lit("kept"))
-    got = {r["doc_id"]: r for r in lines.dedup_lines(docs, ratio=0.5, min_pages=5, broadcast_bytes=limit).collect()}
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs, ratio=0.5, broadcast_bytes=limit).collect()}
     assert all(got[i]["text"] == f"own {i}\n" for i in range(30)) and got[90]["text"] is None and got[91]["text"] == "" and got[92]["text"] == "menu" and got[1]["line"] == "kept"
-    assert lines.dedup_lines(docs.limit(0)).count() == 0
+    assert all(got[100 + i]["text"] == f"x{i}" for i in range(3))
+    assert lines.dedup_lines(docs.limit(0), broadcast_bytes=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_line_dedup_of_many_lines_against_counts(spark, limit):
+    r = random.Random(8)
+    rows = [(i, "\n".join(f"line {r.randint(0, 250)}" for _ in range(r.randint(0, 40))), "en", r.choice("ab"), 1) for i in range(120)]
+    pages, held = Counter(x[3] for x in rows), Counter((x[3], y) for x in rows for y in set(x[1].split("\n")))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(rows, DOCS), ratio=0.07, broadcast_bytes=limit).collect()}
+    assert got == {i: "\n".join(y for y in t.split("\n") if not y or held[h, y] < 3 or held[h, y] <= 0.07 * pages[h]) for i, t, _, h, _ in rows}
 
 
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
@@ -52,30 +65,113 @@ def test_pieces_give_the_librarys_ids(corpus, name, kind):
     assert e.encode(texts) == e.raw(texts)
 
 
-def test_attribution_matches_offsets(spark, corpus):
+def brute_sections(tok, texts, rule, sep="\n"):
+    """Tokens of each line of each field by the library's character offsets, and how many tokens cross into it."""
+    whole, spans, at = sep.join(texts), [], 0
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n")):
+            at += k > 0
+            spans.append((i, k, at, at + len(line)))
+            at += len(line)
+        at += len(sep)
+    counts, crossing = Counter(), Counter()
+    full = [x for x in spans if x[3] > x[2]]
+    for a, b in tok.encode(whole, add_special_tokens=False).offsets:
+        hit = [(x, min(b, x[3]) - max(a, x[2])) for x in full if min(b, x[3]) > max(a, x[2])]
+        if not hit:
+            before = [x for x in full if x[3] <= a] or full or spans
+            counts[before[-1 if [x for x in full if x[3] <= a] else 0][:2]] += 1
+            continue
+        if len(hit) > 1:
+            crossing.update(x[:2] for x, _ in hit)
+        if rule == "proportional":
+            for x, n in hit:
+                counts[x[:2]] += n / sum(n for _, n in hit)
+        else:
+            best = {"start": 0, "end": len(hit) - 1, "majority": max(range(len(hit)), key=lambda i: (hit[i][1], -i))}[rule]
+            counts[hit[best][0][:2]] += 1
+    return {x[:2]: (pytest.approx(counts[x[:2]], abs=1e-9), crossing[x[:2]]) for x in spans}
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+@pytest.mark.parametrize("sep", ["\n", ". ", ""])
+def test_attribution_against_offsets(spark, rule, sep):
+    """Every section's tokens under every rule, on ASCII texts, where characters are bytes; some tokens cross sections."""
+    path, r = tokenizer_path("byte_bpe_50k.json"), random.Random(len(sep) + len(rule))
+    tok = PieceEncoder(path).tokenizer
+    parts = ["the", "water", " ", "  ", "\n", "\n\n", "-----", "....", "x", "'s", "12", "(a)"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 6))), None if i % 5 == 0 else "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for i in range(60)]
+    rows += [(60, "", ""), (61, None, None), (62, "-" * 40, "-" * 50), (63, "a", "word " * 30_000)]
+    docs = spark.createDataFrame([(*x, "kept") for x in rows], "doc_id long, a string, b string, n_tokens string").repartition(2)
+    got = defaultdict(dict)
+    for x in attribution.attribute(docs, path, fields=("a", "b"), sep=sep, rule=rule).collect():
+        got[x["doc_id"]]["ab".index(x["field"]), x["line"]] = (x["n_tokens"], x["crossing"])
+    crossed = 0
+    for i, *texts in rows:
+        want = brute_sections(tok, [t or "" for t in texts], rule, sep)
+        assert got[i] == want, (i, texts)
+        crossed += any(c for _, c in want.values())
+    assert (crossed > 2 or sep) and len(got) == len(rows)
+
+
+def test_attribution_of_odd_rows(spark, corpus):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = PieceEncoder(path).tokenizer
-    docs = corpus.limit(40).unionByName(odd_docs(spark).select(*corpus.columns).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10_000))
-    got = defaultdict(float)
-    for r in attribution.attribute(docs, path, fields=("source", "text"), sep=" ", by_line=True).collect():
+    docs = odd_docs(spark)
+    got = Counter()
+    for r in attribution.attribute(docs, path, fields=("source", "text"), sep=" ").collect():
         got[r["doc_id"]] += r["n_tokens"]
     want = Counter()
     for r in docs.collect():
         want[r["doc_id"]] += len(tok.encode((r["source"] or "") + " " + (r["text"] or ""), add_special_tokens=False).ids)
-    assert got == {k: float(n) for k, n in want.items()}
+    assert got == want  # a null id and rows that repeat are counted like others
+    assert attribution.attribute(docs.limit(0), path).count() == 0
+    with pytest.raises(ValueError):
+        attribution.attribute(docs, path, rule="other")
+    with pytest.raises(Exception, match="byte-level"):
+        attribution.attribute(docs, tokenizer_path("word_bpe_49k.json")).collect()
 
 
-@pytest.mark.parametrize("rule,want", [("start", [2, 1, 0]), ("end", [1, 1, 1]), ("majority", [2, 1, 0]), ("proportional", [5 / 3, 1, 1 / 3])])
+@pytest.mark.parametrize("rule,want", [("start", [2, 1]), ("end", [1, 2]), ("majority", [2, 1]), ("proportional", [5 / 3, 4 / 3])])
 def test_allocation_rules(rule, want):
-    # tokens 0-2, 2-5, 5-6; sections 0-4, 5-6 by start..: the second token has 2 of 3 bytes in the first section
-    ends, a, b = np.array([2, 5, 6]), np.array([0, 4, 4]), np.array([4, 4, 5])
-    counts, crossing = attribution.allocate(ends, a, b, rule)
-    assert counts.sum() == pytest.approx(3) and crossing.tolist() == [1, 0, 1]
-    if rule in ("start", "majority"):
-        assert counts[0] == 2
-    if rule == "proportional":
-        assert counts[0] == pytest.approx(5 / 3)
-    assert attribution.allocate(ends, np.array([], int), np.array([], int), rule)[0].tolist() == []
+    # tokens 0-2, 2-5, 5-6; sections 0-4, none at 4, 4-6: of the second token two bytes lie in the first section, one in the last
+    counts, crossing = attribution.allocate(np.array([2, 5, 6]), np.array([0, 4, 4]), np.array([4, 4, 6]), rule)
+    assert counts.tolist() == pytest.approx([want[0], 0, want[1]]) and crossing.tolist() == [1, 0, 1]
+    assert attribution.allocate(np.array([2]), np.array([], int), np.array([], int), rule)[0].tolist() == []
+    assert attribution.allocate(np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), rule)[0].tolist() == [2, 0]
+
+
+def test_another_tokenizer_is_encoded_whole(tmp_path):
+    """A file whose splitter isn't known gives no cuts; a vocabulary beyond 16 bits gives wide ids."""
+    import json
+
+    told = json.load(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    told["added_tokens"].append(dict(told["added_tokens"][0], id=50257, content="<|more|>"))
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    e = PieceEncoder(str(tmp_path / "t.json"))
+    texts = ["a b\nc", "", None, "word word.", "<|more|>"]
+    assert e.kind == "whole" and e.encode(texts) == e.raw([t or "" for t in texts])
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    big = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    big.pre_tokenizer = pre_tokenizers.Whitespace()
+    big.save(str(tmp_path / "big.json"))
+    e = PieceEncoder(str(tmp_path / "big.json"))
+    assert e.dtype.itemsize == 4 and np.frombuffer(e.encode(["w69999 w1 x"])[0], e.dtype).tolist() == [69_999, 1, 70_000]
+
+
+def test_wide_ids_in_files_and_sequences(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    big = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    big.pre_tokenizer = pre_tokenizers.Whitespace()
+    big.save(str(tmp_path / "big.json"))
+    docs = spark.createDataFrame([(1, "w69999 w1"), (2, None)], "doc_id long, text string")
+    crc = {1: zlib.crc32(np.array([69_999, 1, 2], "<u4").tobytes()), 2: zlib.crc32(np.array([2], "<u4").tobytes())}
+    assert {r["doc_id"]: r["ids_crc32"] for r in wavelet.round_trip(spark, docs, str(tmp_path / "big.json")).collect()} == crc
+    rows = packing.pack(docs.coalesce(1), str(tmp_path / "big.json"), window=4).collect()
+    assert sum(r["length"] for r in rows) == 4 and {r["doc_id"] for r in rows} == {1, 2}
 
 
 def check_packing(rows, want, window=4096):
