@@ -182,23 +182,23 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def buckets_of(rows: DataFrame) -> DataFrame:
-    """(band, hash, id, mass) of the buckets with several members; mass: the sizes of all of an id's buckets together."""
+    """(band, hash, id, n, mass) of the buckets with several members; mass: the sizes of all of an id's buckets together."""
     shared = cut(rows.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     kept = cut(rows.join(shared, ["band", "hash"]), "kept")
     mass = cut(kept.groupBy("id").agg(F.sum("m").alias("mass")), "mass")
-    out = cut(kept.select("band", "hash", "id").join(mass, "id"), "bands")
+    out = cut(kept.select("band", "hash", "id", "n").join(mass, "id"), "bands")
     drop(shared, kept, mass)
     return out
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """Candidate edges (a < b): each bucket's members with its centre, the member with the largest mass, then the smallest id.
+def stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate edges (a < b): each bucket's members with its centre, the member with the largest mass, then the smallest id, where sizes allow a link.
 
     An original lies in the largest bucket of every band, so it outweighs its edited
     copies, which may be alike to it but not to each other.
     """
-    centres = rows.groupBy("band", "hash").agg(F.max(F.struct("mass", (-F.col("id")).alias("neg"))).alias("c"))
-    pairs = rows.join(centres, ["band", "hash"]).select("id", (-F.col("c.neg")).alias("c")).filter("id <> c")
+    centres = rows.groupBy("band", "hash").agg(F.max(F.struct("mass", (-F.col("id")).alias("neg"), "n")).alias("c"))
+    pairs = rows.join(centres, ["band", "hash"]).filter(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")).select("id", (-F.col("c.neg")).alias("c")).filter("id <> c")
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
@@ -286,6 +286,8 @@ def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, bl
     dealt = members.join(mixed, ["band", "hash"]).withColumn("mark", F.xxhash64("id", "band")).withColumn("outside", F.col("label") != F.col("top"))
     every = dealt.withColumn("i", F.pmod("mark", "parts").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("own", F.lit(False))
     own = dealt.filter("outside").withColumn("j", F.pmod("mark", "sides").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(True))
+    ids = cut(dealt.select("id").distinct(), "ids")
+    sigs = sigs.join(small_side(ids, 16), "id", "left_semi")
     # small buckets share a group, whose size stays near that of two blocks
     total = mixed.agg(F.sum(F.col("m") * F.col("sides") + F.col("rest") * F.col("parts")).alias("n")).first()["n"] or 0
     pack = F.pmod(F.xxhash64("band", "hash"), F.lit(max(tasks, int(total) // (4 * block)))).alias("pack")
@@ -315,14 +317,14 @@ def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, bl
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     out = cut(both.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "across")
-    drop(members, mixed)
+    drop(members, mixed, ids)
     return out
 
 
 def linked(docs: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The confirmed edges of a table of candidates."""
     ids = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = cut(sets_of(docs, ids, shingle).distinct(), "sets")
+    sets = cut(sets_of(docs, ids, shingle), "sets")
     out = cut(confirm(candidates, sets, percent), "confirmed")
     drop(sets, ids)
     return out
@@ -353,14 +355,14 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     few = -(-FEW * 100 // percent)  # so that a set without ``few`` can't reach one of up to FEW
     sketched = cut(sketch(docs, shingle, few), "sketch")
     classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = cut(sketched.join(classes.select("id"), sketched.doc_id == classes.id, "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few"), "reps")
-    rows = buckets_of(reps.select("id", F.posexplode("bands").alias("band", "hash")))
-    candidates = cut(stars(rows), "candidates")
+    reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(classes.select("id"), "id", "left_semi")
+    rows = buckets_of(reps.select("id", "n", F.posexplode("bands").alias("band", "hash")))
+    candidates = cut(stars(rows, percent), "candidates")
     first = linked(docs, candidates, shingle, percent)
     labels = components(first)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = across(rows, labels, reps.select("id", "n", "bands", "sig", "few"), percent, tasks=tasks)
-    drop(candidates, reps, rows)
+    rest = across(rows, labels, sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few"), percent, tasks=tasks)
+    drop(candidates, rows)
     if not rest.isEmpty():
         more = linked(docs, rest, shingle, percent)
         if not more.isEmpty():
