@@ -11,6 +11,7 @@ from canopyloom.functions import text as t
 from canopyloom.functions import vectors as v
 from canopyloom.operators import search
 from canopyloom.params import MacroParams, MicroParams
+from canopyloom.storage import cut
 
 UNKNOWN = "未知"
 
@@ -117,17 +118,15 @@ def fill(offers: DataFrame, comm: DataFrame, budget: int) -> DataFrame:
     return kept.join(rows.select("community_id", "place", "id", "text", "score"), ["community_id", "place", "id"])
 
 
-def fallback_target(used: Column, p: MicroParams = MicroParams()) -> Column:
+def fallback_target(used: int, p: MicroParams = MicroParams()) -> int:
     """How many rows the global fallback may add to what is ``used`` (characters)."""
     left = p.budget - used
-    return F.when(left < p.force_recall * p.chars_per_unit, p.force_recall).otherwise(F.greatest(F.lit(1), F.floor(left / p.chars_per_unit))).cast("int")
+    return p.force_recall if left < p.force_recall * p.chars_per_unit else max(1, left // p.chars_per_unit)
 
 
 def fallback(units: DataFrame, query: Sequence[float], taken: DataFrame, used: int, p: MicroParams = MicroParams()) -> DataFrame:
     """Units by similarity to the query that aren't taken yet, best first."""
-    left = p.budget - used
-    target = p.force_recall if left < p.force_recall * p.chars_per_unit else max(1, left // p.chars_per_unit)
-    return beyond(units, query, taken, p.fallback_k, target, p.threshold)
+    return beyond(units, query, taken, p.fallback_k, fallback_target(used, p), p.threshold)
 
 
 def beyond(units: DataFrame, query: Sequence[float], taken: DataFrame, look: int, keep: int, threshold: float) -> DataFrame:
@@ -178,7 +177,7 @@ def micro(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query:
     share of the budget, then neighbours theirs, then the global fallback the rest.
     """
     names = reports.select("community_id", "title")
-    start = anchors(reports, query, p).cache()
+    start = cut(anchors(reports, query, p), "anchors")
     per = lambda ratio: int(p.budget * ratio) // p.chars_per_unit
     leaf = reports.select("community_id", "is_leaf")
     q1 = quotas(start, per(p.anchor_quota_ratio)).join(leaf, "community_id")
@@ -187,12 +186,12 @@ def micro(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query:
     if edges is not None and p.graph:
         near = neighbors(start, edges, names, p)
         order = F.row_number().over(Window.orderBy(F.desc("weight"), "community_id"))
-        near = near.withColumn("rank", order).cache()
+        near = cut(near.withColumn("rank", order), "near")
         q2 = quotas(near, per(p.neighbor_quota_ratio), score="weight").join(leaf, "community_id")
         two = fill(penetrate(q2, units, reports, query, False), near, int(p.budget * p.neighbor_quota_ratio))
         parts.append(two.join(near.select("community_id", "title", "relation_type", "weight", "anchor_title"), "community_id").select(F.lit(2).alias("part"), "seq", "id", "text", "score", F.lit("neighbor").alias("source_type"), "relation_type", "weight", "community_id", "title", "anchor_title"))
     taken = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    taken = taken.cache()  # a budget's worth of rows
+    taken = cut(taken, "taken")  # a budget's worth of rows
     used = taken.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     rest = fallback(units, query, taken, used, p)
     seq = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1
@@ -207,12 +206,12 @@ def macro(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query:
     reports also has findings and finding_vectors.
     """
     names = reports.select("community_id", "title")
-    start = territory(reports, query, p).cache()
+    start = cut(territory(reports, query, p), "territory")
     cands = start.select("community_id", "title")
     if edges is not None:
         cands = cands.unionByName(bridges(start, edges, names, p).select("community_id", "title"))
-    points = top_findings(reports, cands, query, p.max_findings).cache()
-    proof = evidence(points, units, reports, query, p.evidence_per_finding, p.threshold).cache()
+    points = cut(top_findings(reports, cands, query, p.max_findings), "points")
+    proof = cut(evidence(points, units, reports, query, p.evidence_per_finding, p.threshold), "proof")
     more = supplement(units, query, proof, p)
     heads = search.scored(reports.filter("summary <> ''").join(F.broadcast(start.select("community_id", "rank")), "community_id"), query, "embedding")
     cols = ["part", "at", "id", "text", "score", "source_type", "community_id"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,22 +48,32 @@ def chunk_list(text: Column, chunks: Column, chunk_vectors: Column, whole: Colum
     return F.when(F.coalesce(eligible, F.lit(False)), pairs).otherwise(F.array(F.struct(text.alias("chunk"), whole.alias("vector"))))
 
 
+def chunk_scores(chunk_vectors: Column, query: Sequence[float]) -> Column:
+    """array<double>: the product of each chunk's vector with the query, by one matrix product a row (Arrow batches)."""
+
+    @F.pandas_udf("array<double>")
+    def products(rows: pd.Series) -> pd.Series:
+        q = np.array(query, np.float64)
+        return pd.Series([None if r is None else [float((np.asarray(x, np.float64) * q).sum()) for x in r] for r in rows], dtype=object)
+
+    return products(chunk_vectors)
+
+
 def best_chunk(chunks: Column, chunk_vectors: Column, text: Column, query: Sequence[float], tie: float = 0.0) -> Column:
     """struct<pos, chunk, score>: the chunk with the largest product with the query; the first of equals.
 
     Without chunks, or with another number of vectors, the whole text with score 1; so
     with one chunk. With ``tie``, a lead of less than that gives the first chunk.
     """
-    each = F.transform(chunk_vectors, lambda x, i: F.struct(v.dot(x, vector(query)).alias("score"), (-i).alias("neg")))
-    ranked = F.sort_array(each, asc=False)
-    first, second = ranked[0], F.try_element_at(ranked, F.lit(2))
-    pos = -first["neg"]
+    each = chunk_scores(chunk_vectors, query)
+    pos = F.array_position(each, F.array_max(each)).cast("int") - 1
     if tie:
-        pos = F.when(first["score"] - second["score"] < tie, 0).otherwise(pos)
-    score = F.element_at(each, pos + 1)["score"]
+        lead = F.array_max(each) - F.try_element_at(F.sort_array(each, asc=False), F.lit(2))
+        pos = F.when(lead < tie, 0).otherwise(pos)
+    score = F.try_element_at(each, pos + 1)
     n = F.size(chunks)
     whole = F.struct(F.lit(0).alias("pos"), text.alias("chunk"), F.lit(1.0).alias("score"))
-    return F.when((n <= 0) | chunks.isNull() | (n != F.size(chunk_vectors)), whole).when(n == 1, F.struct(F.lit(0).alias("pos"), chunks[0].alias("chunk"), F.lit(1.0).alias("score"))).otherwise(F.struct(pos.cast("int").alias("pos"), F.element_at(chunks, pos + 1).alias("chunk"), score.alias("score")))
+    return F.when((n <= 0) | chunks.isNull() | (n != F.size(chunk_vectors)), whole).when(n == 1, F.struct(F.lit(0).alias("pos"), chunks[0].alias("chunk"), F.lit(1.0).alias("score"))).otherwise(F.struct(pos.cast("int").alias("pos"), F.try_element_at(chunks, pos + 1).alias("chunk"), score.alias("score")))
 
 
 def per_group(rows: DataFrame, group: str, k: int | Column, key: str = "id") -> DataFrame:

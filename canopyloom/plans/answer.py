@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyloom.operators import fusion, retrieve
+from canopyloom.functions import text as t
+from canopyloom.operators import fusion, retrieve, search
 from canopyloom.params import MacroParams, MicroParams
 
 MODES = ("micro", "macro")
@@ -55,6 +56,28 @@ def retriever(mode: str) -> Callable[..., DataFrame]:
     return retrieve.micro if mode == "micro" else retrieve.macro
 
 
+def process(results: DataFrame, units: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """Results with the text that goes into the context: a long unit as head, best chunk and tail, a short one whole, both after their title prefix.
+
+    What isn't a unit (summaries, findings) stays as it is. units: id, path, and where
+    there are any text_chunks, chunk_vectors, prepend. Adds original_length.
+    """
+    empty, have = F.array().cast("array<string>"), units.columns
+    own = units.select(
+        "id", F.col("path").alias("_path"), (F.col("prepend") if "prepend" in have else F.lit("")).alias("_prepend"),
+        (F.col("text_chunks") if "text_chunks" in have else empty).alias("_chunks"),
+        (F.col("chunk_vectors") if "chunk_vectors" in have else F.array().cast("array<array<float>>")).alias("_vectors"),
+    ).dropDuplicates(["id"])
+    rows = results.join(own, "id", "left").withColumn("original_length", F.length("text"))
+    x, chunks = F.col("text"), F.col("_chunks")
+    best = search.best_chunk(chunks, F.coalesce("_vectors", F.array().cast("array<array<float>>")), x, vector)["chunk"]
+    whole = fusion.reassemble(x, t.head(x), t.tail(x), best, F.try_element_at(chunks, F.lit(1)), F.try_element_at(chunks, F.lit(-1)), t.title_prefix(F.col("_prepend"), F.col("_path")))
+    # without chunks the best chunk is the text itself, to which nothing is added
+    plain = F.concat(t.title_prefix(F.col("_prepend"), F.col("_path")), x)
+    text = F.when(F.col("_path").isNull(), x).when(F.coalesce(F.size(chunks), F.lit(0)) <= 0, plain).otherwise(F.coalesce(whole, plain))
+    return rows.withColumn("text", text).drop("_path", "_prepend", "_chunks", "_vectors")
+
+
 def fuse(results: DataFrame, units: DataFrame, mode: str, system: str = "", query: str = "", budget: int = 32_000) -> tuple[DataFrame, DataFrame]:
     """(entries, context): deduplicated, ranked, within the budget, and rendered. units: (id, path)."""
     if mode == "macro":
@@ -76,10 +99,10 @@ def prompt(context: str, query: str, mode: str, templates: dict[str, str] = PROM
 
 
 def answer(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query: str, vector: Sequence[float], mode: str = "micro", params: MicroParams | MacroParams | None = None, generate: Callable[[str], str] | None = None, translate: Callable[[str], str] | None = None, cache: dict | None = None) -> dict:
-    """A query's answer with its context and counts. units: id, text, path, community_id, vector."""
+    """A query's answer with its context and counts. units: id, text, path, community_id, vector, and what ``process`` reads."""
     params = params or (MicroParams() if mode == "micro" else MacroParams())
     expansion = expand_query(query, translate, cache)
-    found = retriever(mode)(units, reports, edges, vector, params)
+    found = process(retriever(mode)(units, reports, edges, vector, params), units, vector)
     entries, rendered = fuse(found, units, mode, query=query, budget=params.budget)
     context = rendered.first()["context"]  # a budget's worth of characters
     text = prompt(context, query, mode)

@@ -200,10 +200,10 @@ def filter_keywords(s, d):
 
 
 @query(""", x AS (SELECT 1) SELECT doc_id, path FROM units WHERE (path = '' OR starts_with(path, 'en/src1') OR starts_with(path, 'fr/'))
-AND community_id IN (SELECT community_id FROM units WHERE doc_id < 200)""")
+AND community_id IN (SELECT community_id FROM units WHERE length(text) > 2000)""")
 def filter_scope(s, d):
     u = views.units(s, d)
-    some = u.filter("doc_id < 200").select("community_id").distinct()
+    some = u.filter(F.length("text") > 2000).select("community_id").distinct()
     return u.filter(filters.scope_filter(F.col("path"), ["en/src1", "fr/"])).join(some, "community_id", "left_semi").select("doc_id", "path")
 
 
@@ -332,13 +332,30 @@ def prune_superset(s, d):
     return graph.prunable(g, graph.super_hubs(g, GRAPH), GRAPH).withColumn("weight", r6("weight"))
 
 
-@query()
+#: The sequential pass: every hub's light edges in turn, each with its other paths of two or three edges as lists of edges.
+_PRUNE = """, bth AS (SELECT a AS x, b AS y, a || '-' || b AS e FROM sim UNION ALL SELECT b, a, a || '-' || b FROM sim),
+light AS (SELECT a, b, weight, a || '-' || b AS e FROM sim WHERE weight < 0.8 AND (a IN (SELECT id FROM hubs) OR b IN (SELECT id FROM hubs))),
+one AS (SELECT l.*, n.y AS m, n.e AS e1 FROM light l JOIN bth n ON n.x = l.a WHERE n.y <> l.b),
+ways AS (
+  SELECT one.e, [e1, n.e] AS way FROM one JOIN bth n ON n.x = m AND n.y = one.b
+  UNION ALL SELECT one.e, [e1, n.e, z.e] FROM one JOIN bth n ON n.x = m JOIN bth z ON z.x = n.y AND z.y = one.b WHERE n.y <> one.a AND n.y <> one.b),
+goal AS (SELECT e, list(way) AS ways FROM ways GROUP BY e),
+turns AS (SELECT row_number() OVER (ORDER BY h.id, l.weight, CASE WHEN l.a = h.id THEN l.b ELSE l.a END) AS k, l.e, g.ways FROM hubs h JOIN light l ON l.a = h.id OR l.b = h.id JOIN goal g ON g.e = l.e),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone
+  UNION ALL SELECT t.k, CASE WHEN NOT list_contains(run.gone, t.e) AND len(list_filter(t.ways, lambda w: NOT list_has_any(w, run.gone))) > 0 THEN list_append(run.gone, t.e) ELSE run.gone END FROM run JOIN turns t ON t.k = run.k + 1),
+cut AS (SELECT unnest(gone) AS e FROM run WHERE k = (SELECT max(k) FROM run))
+"""
+
+
+@query(_PRUNE + "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, weight FROM light WHERE e IN (SELECT e FROM cut)")
 def prune_exact(s, d):
     g = similarity_graph(s, d)
     return graph.prune(g, graph.super_hubs(g, GRAPH), GRAPH)
 
 
-@query()
+@query(_PRUNE + """, ends AS (SELECT unnest([a, b]) AS id FROM sim WHERE a || '-' || b NOT IN (SELECT e FROM cut))
+SELECT CAST(h.id AS BIGINT) AS id, count(ends.id) AS degree FROM hubs h LEFT JOIN ends ON ends.id = h.id GROUP BY 1""")
 def prune_apply(s, d):
     g = similarity_graph(s, d)
     hubs = graph.super_hubs(g, GRAPH)
@@ -427,16 +444,16 @@ def waterfall_fill(s, d):
     return retrieve.fill(retrieve.penetrate(q1, units, r, qv, True), start, 9600).select("community_id", "id", F.col("seq").cast("int").alias("seq"))
 
 
-@query(", b AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 100) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 0.10 AND id NOT IN (SELECT id FROM units WHERE doc_id % 3 = 0) ORDER BY score DESC, id LIMIT 20")
+@query(", b AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 100) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 0.10 AND id NOT IN (SELECT id FROM units WHERE length(text) < 700) ORDER BY score DESC, id LIMIT 20")
 def fallback(s, d):
     u = views.vectors(s, d)
-    return retrieve.fallback(u, views.query_vector(s, d), u.filter("doc_id % 3 = 0"), 30_000, MICRO).select("doc_id", r6("score").alias("score"))
+    return retrieve.fallback(u, views.query_vector(s, d), u.filter("length(text) < 700"), 30_000, MICRO).select("doc_id", r6("score").alias("score"))
 
 
-@query(", b AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 20) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 0.10 AND id NOT IN (SELECT id FROM units WHERE doc_id % 5 = 0) ORDER BY score DESC, id LIMIT 10")
+@query(", b AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 20) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 0.10 AND id NOT IN (SELECT id FROM units WHERE length(text) < 500) ORDER BY score DESC, id LIMIT 10")
 def supplement(s, d):
     u = views.vectors(s, d)
-    return retrieve.supplement(u, views.query_vector(s, d), u.filter("doc_id % 5 = 0"), MACRO).select("doc_id", r6("score").alias("score"))
+    return retrieve.supplement(u, views.query_vector(s, d), u.filter("length(text) < 500"), MACRO).select("doc_id", r6("score").alias("score"))
 
 
 _FIND = """, fl AS (
@@ -463,13 +480,64 @@ def evidence(s, d):
     return retrieve.evidence(points, views.vectors(s, d), r, qv, 2, 0.10).select("finding_id", F.col("place").cast("int").alias("place"), "id", r6("score").alias("score"))
 
 
-@query()
+_MICRO = _QUOTA + _NEAR[: _NEAR.index("SELECT target_id AS community_id, r.title")].format(start="anch", roots="", weight=0.7) + """, nq AS (
+  SELECT target_id, weight, relation_type, anchor_title, row_number() OVER (ORDER BY weight DESC, target_id) AS rnk, count(*) OVER () AS n, greatest(1, CAST(round_even(19 * weight / sum(weight) OVER (), 0) AS INT)) AS share FROM f WHERE n = 1),
+nt AS (SELECT nq.*, r.title, r.is_leaf, CASE WHEN rnk = nq.n THEN greatest(1, share + 19 - sum(share) OVER ()) ELSE share END AS quota FROM nq LEFT JOIN reports r ON r.community_id = nq.target_id),
+inner_rank AS (SELECT v.community_id, v.id, v.text, list_dot_product(v.vector, q.qv) AS score, row_number() OVER (PARTITION BY v.community_id ORDER BY list_dot_product(v.vector, q.qv) DESC, v.id) AS rn FROM vecs v, q),
+off1 AS (
+  SELECT qt.rnk, 0 AS place, 'summary_' || qt.community_id AS id, qt.community_id, '【社区摘要】' || qt.summary AS text, qt.score FROM qt WHERE qt.summary <> ''
+  UNION ALL SELECT qt.rnk, x.rn, x.id, x.community_id, x.text, x.score FROM inner_rank x JOIN qt ON qt.community_id = x.community_id AND qt.is_leaf AND x.rn <= qt.quota),
+off2 AS (SELECT nt.rnk, x.rn AS place, x.id, x.community_id, x.text, x.score FROM inner_rank x JOIN nt ON nt.target_id = x.community_id AND nt.is_leaf AND x.rn <= nt.quota),
+o1 AS (SELECT *, length(text) AS n, row_number() OVER (ORDER BY rnk, place, id) AS k FROM off1),
+o2 AS (SELECT *, length(text) AS n, row_number() OVER (ORDER BY rnk, place, id) AS k FROM off2),
+st1 AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(-1 AS BIGINT) AS stopped, false AS took
+  UNION ALL SELECT o.k, CASE WHEN o.rnk <> st1.stopped AND st1.used + o.n <= 9600 THEN st1.used + o.n ELSE st1.used END, CASE WHEN o.rnk <> st1.stopped AND st1.used + o.n <= 9600 THEN st1.stopped ELSE o.rnk END,
+    o.rnk <> st1.stopped AND st1.used + o.n <= 9600 FROM st1 JOIN o1 o ON o.k = st1.k + 1),
+st2 AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(-1 AS BIGINT) AS stopped, false AS took
+  UNION ALL SELECT o.k, CASE WHEN o.rnk <> st2.stopped AND st2.used + o.n <= 9600 THEN st2.used + o.n ELSE st2.used END, CASE WHEN o.rnk <> st2.stopped AND st2.used + o.n <= 9600 THEN st2.stopped ELSE o.rnk END,
+    o.rnk <> st2.stopped AND st2.used + o.n <= 9600 FROM st2 JOIN o2 o ON o.k = st2.k + 1),
+taken AS (
+  SELECT 1 AS part, o1.k, o1.id, o1.text, o1.score, 'anchor' AS source_type, CAST(NULL AS VARCHAR) AS relation_type, CAST(NULL AS DOUBLE) AS weight, o1.community_id, a.title, a.title AS anchor_title
+    FROM st1 JOIN o1 USING (k) JOIN anch a ON a.community_id = o1.community_id WHERE took
+  UNION ALL SELECT 2, o2.k, o2.id, o2.text, o2.score, 'neighbor', nt.relation_type, nt.weight, o2.community_id, coalesce(nt.title, '未知'), nt.anchor_title
+    FROM st2 JOIN o2 USING (k) JOIN nt ON nt.target_id = o2.community_id WHERE took),
+goal AS (SELECT CASE WHEN 32000 - u < 10000 THEN 20 ELSE greatest(1, (32000 - u) // 500) END AS target FROM (SELECT coalesce(sum(length(text)), 0) AS u FROM taken)),
+b100 AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 100),
+rest AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM b100 WHERE score >= 0.10 AND id NOT IN (SELECT id FROM taken)),
+got AS (SELECT * FROM taken UNION ALL SELECT 3, rest.k, rest.id, rest.text, rest.score, 'fallback', NULL, NULL, rest.community_id, coalesce(r.title, '未知'), NULL FROM rest LEFT JOIN reports r USING (community_id), goal WHERE rest.k <= target),
+micro AS (SELECT row_number() OVER (ORDER BY part, k) - 1 AS seq, id, text, score, source_type, relation_type, weight, community_id, title, anchor_title FROM got)
+"""
+
+
+@query(_MICRO + "SELECT CAST(seq AS INT) AS seq, id, text, round(score, 6) AS score, source_type, relation_type, weight, community_id, title, anchor_title FROM micro")
 def micro_retrieve(s, d):
     r = views.reports(s, d)
     return retrieve.micro(views.vectors(s, d), r, edges_of(s, d), views.query_vector(s, d), MICRO).withColumn("score", r6("score"))
 
 
-@query()
+_MACRO = _NEAR[: _NEAR.index("SELECT target_id AS community_id, r.title")].format(start="terr", roots="AND a.level > 0", weight=0.8) + """, cs AS (SELECT community_id FROM terr UNION SELECT target_id FROM f WHERE n = 1),
+fl AS (
+  SELECT community_id, 0 AS finding_index, left(full_content, 30) AS summary, substring(full_content, 31, 60) AS explanation, embedding AS x FROM reports
+  UNION ALL SELECT community_id, 1, right(full_content, 30), 'tail', list_reverse(embedding) FROM reports),
+tf AS (SELECT fl.community_id, fl.finding_index, 'finding_' || community_id || '_' || finding_index AS id, '【观点】' || summary || chr(10) || chr(10) || '【解释】' || explanation AS text, list_cosine_similarity(x, q.qv) AS score
+  FROM fl, q WHERE community_id IN (SELECT community_id FROM cs) ORDER BY score DESC, community_id, finding_index LIMIT 5),
+b10 AS (SELECT community_id, id, text, score FROM usim ORDER BY score DESC, id LIMIT 10),
+hit AS (SELECT tf.id AS finding_id, b10.community_id, b10.id, b10.text, b10.score, row_number() OVER (PARTITION BY tf.id ORDER BY b10.score DESC, b10.id) AS place FROM tf JOIN b10 USING (community_id) WHERE b10.score >= 0.10),
+ev AS (SELECT * FROM hit WHERE place <= 2 UNION ALL SELECT tf.id, tf.community_id, 'summary_' || tf.community_id, '【社区摘要】' || r.summary, r.score, 0 FROM tf JOIN rsim r USING (community_id) WHERE r.summary <> ''),
+b20 AS (SELECT * FROM usim ORDER BY score DESC, id LIMIT 20),
+sup AS (SELECT * FROM b20 WHERE score >= 0.10 AND id NOT IN (SELECT id FROM ev) ORDER BY score DESC, id LIMIT 10),
+got AS (
+  SELECT 1 AS part, rnk AS pl, 'summary_' || community_id AS id, '【社区摘要】' || summary AS text, score, 'anchor' AS source_type, community_id FROM terr WHERE summary <> ''
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY score DESC, id), id, text, score, 'finding', community_id FROM tf
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY finding_id, place), id, text, score, 'evidence', community_id FROM ev
+  UNION ALL SELECT 4, row_number() OVER (ORDER BY score DESC, id), id, text, score, 'supplement', community_id FROM sup),
+macro AS (SELECT row_number() OVER (ORDER BY score DESC, part, pl) - 1 AS seq, got.id, got.text, got.score, got.source_type, got.community_id, coalesce(r.title, '未知') AS title FROM got LEFT JOIN reports r USING (community_id))
+"""
+
+
+@query(_MACRO + "SELECT CAST(seq AS INT) AS seq, id, text, round(score, 6) AS score, source_type, community_id, title FROM macro")
 def macro_retrieve(s, d):
     return retrieve.macro(views.vectors(s, d), with_findings(s, d), edges_of(s, d), views.query_vector(s, d), MACRO).withColumn("score", r6("score"))
 
@@ -478,10 +546,10 @@ def macro_retrieve(s, d):
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
-    """A retrieval's rows made up from vectors: three sources that overlap."""
+    """A retrieval's rows made up from vectors: three sources that overlap by score; every unit with a vector is in one at least."""
     u = search.scored(views.vectors(s, d), views.query_vector(s, d))
-    kinds = {"neighbor": 0, "anchor": 1, "fallback": 2}
-    parts = [u.filter(F.col("doc_id") % 7 <= 2 + k).select("doc_id", "id", "text", "path", "score", F.lit(n).alias("source_type"), F.lit(k).alias("k")) for n, k in kinds.items()]
+    kinds = {"neighbor": (0, -0.05), "anchor": (1, 0.05), "fallback": (2, -2.0)}
+    parts = [u.filter(F.col("score") >= low).select("doc_id", "id", "text", "path", "score", F.lit(n).alias("source_type"), F.lit(k).alias("k")) for n, (k, low) in kinds.items()]
     rows = parts[0].union(parts[1]).union(parts[2])
     near = F.col("source_type") == "neighbor"
     return rows.select(
@@ -493,7 +561,7 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 _FUSE = """, raw AS (
   SELECT k * 1000000 + doc_id AS seq, id, text, path, score, kind AS source_type, CASE WHEN k = 0 THEN 't' || (doc_id % 5) END AS relation_type, CASE WHEN k = 0 THEN CAST(0.7 + 0.1 * (doc_id % 3) AS DOUBLE) END AS weight,
     CASE WHEN k = 0 THEN 'a' || (doc_id % 2) END AS anchor_title
-  FROM usim, (SELECT unnest([0, 1, 2]) AS k, unnest(['neighbor', 'anchor', 'fallback']) AS kind) WHERE doc_id % 7 <= 2 + k),
+  FROM usim, (SELECT unnest([0, 1, 2]) AS k, unnest(['neighbor', 'anchor', 'fallback']) AS kind, unnest([-0.05, 0.05, -2.0]) AS low) WHERE score >= low),
 dd AS (SELECT *, min(seq) OVER (PARTITION BY id) AS fst, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY CASE source_type WHEN 'anchor' THEN 1 WHEN 'neighbor' THEN 2 ELSE 3 END, seq) AS rn,
   string_agg(relation_type || ':' || anchor_title, ',' ORDER BY seq) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS said FROM raw),
 ded AS (SELECT fst AS seq, id, text, path, score, source_type, relation_type, weight, anchor_title, CASE WHEN n > 1 THEN coalesce(said, '') ELSE '' END AS relations FROM dd WHERE rn = 1),
@@ -537,7 +605,19 @@ def fusion_stats(s, d):
     return fusion.stats(raw, fusion.deduplicate(raw), kept, length.cast("int")).withColumn("budget_usage_percent", r6("budget_usage_percent"))
 
 
-@query()
+_RENDER = """, dd AS (SELECT *, min(seq) OVER (PARTITION BY id) AS fst, row_number() OVER (PARTITION BY id ORDER BY CASE source_type WHEN 'anchor' THEN 1 WHEN 'finding' THEN 4 WHEN 'evidence' THEN 5 ELSE 6 END, seq) AS rn FROM macro),
+ps AS (SELECT *, source_type IN ('finding', 'evidence') AS claim, row_number() OVER (ORDER BY score DESC, fst) AS position FROM dd WHERE rn = 1),
+sf AS (SELECT *, sum(length(text) + CASE WHEN claim THEN 100 ELSE 50 END) OVER (ORDER BY position) AS used FROM ps),
+nb AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY position) AS i FROM sf WHERE used <= 32000),
+cl AS (SELECT string_agg('### Claim ' || i || ': ' || left(text, 100) || '... (Score: ' || printf('%.2f', score) || ')' || chr(10) || CASE WHEN coalesce(community_id, '') <> '' THEN '- **Context**: From Community [' || community_id || ']' || chr(10) ELSE '' END
+  || '- **Supporting Evidence**:' || chr(10) || '  1. [证据占位]' || chr(10), chr(10) ORDER BY i) AS t FROM nb WHERE claim),
+ot AS (SELECT string_agg(i || '. [' || id || ']: "' || CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END || '"', chr(10) ORDER BY i) AS t FROM nb WHERE NOT claim)
+SELECT CASE WHEN (SELECT count(*) FROM nb) = 0 THEN '' ELSE '# Macro Overview (宏观综述)' || chr(10) || chr(10)
+  || CASE WHEN cl.t IS NULL THEN '' ELSE '## I. Structural Logic & Claims (逻辑与观点)' || chr(10) || '基于图谱分析，发现以下核心观点及其关联：' || chr(10) || chr(10) || cl.t || chr(10) END
+  || '## II. Supplementary Historical Records (补充史料)' || chr(10) || '原典记载：' || chr(10) || coalesce(chr(10) || ot.t, '') END AS context FROM cl, ot"""
+
+
+@query(_MACRO + _RENDER)
 def render_macro(s, d):
     found = retrieve.macro(views.vectors(s, d), with_findings(s, d), edges_of(s, d), views.query_vector(s, d), MACRO)
     return answer.fuse(found, views.units(s, d), "macro")[1]
@@ -623,16 +703,29 @@ def cache_keys(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", io.cache_key(F.col("source"), True).alias("cache_key"))
 
 
-@query(r", x AS (SELECT 1) SELECT doc_id, CASE WHEN len(k) > 0 THEN source || ' ' || array_to_string(k, ' ') ELSE source END AS enhanced FROM (SELECT doc_id, source, list_filter(string_split_regex(left(text, 40), '\s+'), lambda w: w <> '') AS k FROM units)")
+@query(r", x AS (SELECT 1) SELECT doc_id, CASE WHEN len(k) > 0 THEN source || ' ' || array_to_string(k, ' ') ELSE source END AS enhanced FROM (SELECT doc_id, source, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS k FROM units)")
 def query_enhance(s, d):
-    return views.units(s, d).select("doc_id", t.enhance(F.col("source"), t.keywords(F.left("text", F.lit(40)))).alias("enhanced"))
+    return views.units(s, d).select("doc_id", t.enhance(F.col("source"), t.keywords(F.col("text"))).alias("enhanced"))
+
+
+_ANSWER = _MICRO + _CHUNK + """, b AS (SELECT doc_id, k FROM o WHERE rn = 1),
+whole AS (SELECT u.id, any_value(u.path) AS path, any_value('[' || u.l0 || '·' || CASE WHEN u.l2 = '' THEN u.l1 ELSE u.l2 END || '] ' || CASE WHEN length(u.text) > 700 THEN
+    left(u.text, 200) || ' ...[检索定位] ' || CASE WHEN b.k = c.n THEN right(u.text, 300) ELSE substring(u.text, CAST(200 * b.k + 1 AS INT), 300) END || ' ... ' || right(u.text, 100) ELSE u.text END) AS t
+  FROM units u LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY u.id),
+pr AS (SELECT m.seq, m.id, coalesce(w.t, m.text) AS text, m.score, m.source_type, m.relation_type, m.weight, m.anchor_title, coalesce(w.path, m.title) AS path FROM micro m LEFT JOIN whole w USING (id)),
+dd AS (SELECT *, min(seq) OVER (PARTITION BY id) AS fst, row_number() OVER (PARTITION BY id ORDER BY CASE source_type WHEN 'anchor' THEN 1 WHEN 'neighbor' THEN 2 ELSE 3 END, seq) AS dn FROM pr),
+rk AS (SELECT *, CASE WHEN source_type = 'neighbor' THEN score * weight * 0.9 ELSE score END AS adjusted FROM dd WHERE dn = 1),
+ps AS (SELECT *, row_number() OVER (ORDER BY adjusted DESC, fst) AS position, '[Source: ' || path || ']' || CASE WHEN source_type = 'neighbor' THEN ' [关联证据: 通过 "' || relation_type || '" 关联到 "' || anchor_title || '"]' ELSE '' END AS meta FROM rk),
+sf AS (SELECT *, sum(length(meta) + 1 + length(text) + 1) OVER (ORDER BY position) AS used FROM ps)
+"""
 
 
-@query()
+@query(_ANSWER + "SELECT CAST(position AS INT) AS position, id, source_type, round(adjusted, 6) AS adjusted, CAST(used AS BIGINT) AS used FROM sf WHERE used <= 32000")
 def micro_answer(s, d):
     """The context of a whole detail-first retrieval."""
     u = views.vectors(s, d)
-    found = retrieve.micro(u, views.reports(s, d), edges_of(s, d), views.query_vector(s, d), MICRO)
+    q = views.query_vector(s, d)
+    found = answer.process(retrieve.micro(u, views.reports(s, d), edges_of(s, d), q, MICRO), chunked(s, d), q)
     entries, _ = answer.fuse(found, u, "micro")
     return entries.select("position", "id", "source_type", r6("adjusted").alias("adjusted"), "used")
 
