@@ -95,10 +95,6 @@ def simplify(x: Column, table: dict[str, str]) -> Column:
     return F.translate(x, "".join(table), "".join(table.values()))
 
 
-def finding_text(summary: Column, explanation: Column) -> Column:
-    return strip(F.concat_ws(" ", summary, explanation))
-
-
 def findings(x: Column) -> Column:
     """Parsed findings; blank or broken JSON, no list, or an incomplete element gives none."""
     parsed = F.from_json(x, "array<struct<summary:string,explanation:string>>")

@@ -30,10 +30,7 @@ def is_placeholder(a: Column) -> Column:
     return a.isNull() | (F.size(a) == 0) | F.forall(a, lambda x: F.abs(x) < 1e-7)
 
 
-def placeholder(dim: int) -> Column:
-    return F.array_repeat(F.lit(0.0).cast("float"), dim)
-
-
-def summary(a: Column) -> Column:
-    """Norm, first three components and whether it is a placeholder."""
-    return F.struct(norm(a).alias("norm"), F.slice(a, 1, 3).alias("sample"), is_placeholder(a).alias("is_zero"))
+def summary(a: Column, chunk_vectors: Column | None = None) -> Column:
+    """Norm, first three components, whether it is a placeholder, and how many chunk vectors there are."""
+    count = F.lit(0) if chunk_vectors is None else F.greatest(F.lit(0), F.coalesce(F.size(chunk_vectors), F.lit(0)))
+    return F.struct(norm(a).alias("norm"), F.slice(a, 1, 3).alias("sample"), is_placeholder(a).alias("is_zero"), count.alias("chunk_count"))

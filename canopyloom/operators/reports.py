@@ -105,15 +105,34 @@ def vector_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(x.isNull()).alias("n_null"), F.count_if(x.isNotNull() & v.is_placeholder(x)).alias("n_zero"), F.count_if(~v.is_placeholder(x)).alias("n_valid"))
 
 
+def closed(text: str) -> str:
+    """JSON text that was cut off, with its open string, lists and objects closed; what follows the first whole value goes."""
+    inside, escaped, open_ = False, False, []
+    for i, c in enumerate(text):
+        if inside:
+            inside = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            open_.append("]" if c == "[" else "}")
+        elif c in "]}" and open_:
+            open_.pop()
+            if not open_:
+                return text[: i + 1]
+    return text + '"' * inside + "".join(reversed(open_))
+
+
 def repair_json(text: str | None) -> dict:
-    """An object out of a model's answer: fences and text around it taken off, a trailing comma allowed; of a list its first element, else {}."""
+    """An object out of a model's answer, else {}: fences and text around it are taken off, trailing commas and a cut-off end allowed; of a list its first element."""
     body = re.sub(r"```(?:json)?", "", text or "")
-    found = re.search(r"[\[{].*[\]}]", body, re.S)
-    if not found:
+    begin = re.search(r"[\[{]", body)
+    if not begin:
         return {}
-    for candidate in (found[0], re.sub(r",\s*([}\]])", r"\1", found[0])):
+    whole = closed(body[begin.start() :])
+    for candidate in (whole, re.sub(r",\s*([}\]])", r"\1", whole)):
         try:
-            out = json.loads(candidate)
+            out = json.loads(candidate, strict=False)
         except ValueError:
             continue
         if isinstance(out, list):
@@ -122,6 +141,11 @@ def repair_json(text: str | None) -> dict:
     return {}
 
 
+def stub_model(prompt: str) -> str:
+    """A deterministic stand-in for a model, for tests and offline runs: a report whose summary is the prompt's md5."""
+    return json.dumps({"title": "T", "summary": hashlib.md5(prompt.encode()).hexdigest(), "findings": []})
+
+
 def stub_embedder(dim: int = 64, most_chars: int = 8000) -> Callable[[DataFrame], DataFrame]:
     """A deterministic provider for tests and offline runs: vectors drawn from the text's hash, zero for an empty text."""
 
@@ -142,26 +166,3 @@ def stub_embedder(dim: int = 64, most_chars: int = 8000) -> Callable[[DataFrame]
         return rows.select("id", "text").mapInPandas(task, "id string, vector array<float>")
 
     return embed
-
-
-def call_provider(rows: DataFrame, provider: Callable[[str], str], retries: int = 3) -> DataFrame:
-    """(id, prompt) to (id, answer, error): calls a model for each row; errors become rows, the batch goes on.
-
-    provider: picklable; throttling and waiting between retries are its own business.
-    """
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, prompt in zip(b["id"], b["prompt"], strict=True):
-                answer, error = None, None
-                for _ in range(retries):
-                    try:
-                        answer, error = provider(prompt), None
-                        break
-                    except Exception as e:  # a provider may raise anything
-                        error = f"{type(e).__name__}: {e}"
-                out.append((key, answer, error))
-            yield pd.DataFrame(out, columns=["id", "answer", "error"])
-
-    return rows.select("id", "prompt").mapInPandas(task, "id string, answer string, error string")

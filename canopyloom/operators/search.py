@@ -41,13 +41,6 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, key: str = "id", thre
     return best.orderBy(*order).limit(k)
 
 
-def chunk_list(text: Column, chunks: Column, chunk_vectors: Column, whole: Column, threshold: int = 700) -> Column:
-    """array<struct<chunk, vector>>: the chunks of a long text that has as many vectors as chunks, else the text itself."""
-    eligible = (F.length(text) > threshold) & (F.size(chunks) > 0) & (F.size(chunks) == F.size(chunk_vectors))
-    pairs = F.zip_with(chunks, chunk_vectors, lambda c, x: F.struct(c.alias("chunk"), x.alias("vector")))
-    return F.when(F.coalesce(eligible, F.lit(False)), pairs).otherwise(F.array(F.struct(text.alias("chunk"), whole.alias("vector"))))
-
-
 def chunk_scores(chunk_vectors: Column, query: Sequence[float]) -> Column:
     """array<double>: the product of each chunk's vector with the query, by one matrix product a row (Arrow batches)."""
 

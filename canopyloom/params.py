@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+from typing import TypeVar
+
+P = TypeVar("P")
+
+
+def from_environment(kind: type[P], name: str, environment: Mapping[str, str] = os.environ) -> P:
+    """Parameters with their defaults, overridden by variables such as CANOPYLOOM_MICRO_BUDGET; a value that can't be read is an error."""
+    own = {}
+    for f in fields(kind):
+        told = environment.get(f"CANOPYLOOM_{name}_{f.name}".upper())
+        if told is None:
+            continue
+        if isinstance(f.default, bool):
+            if told.strip().lower() not in ("0", "1", "true", "false", "yes", "no"):
+                raise ValueError(f"{f.name}: {told!r} is neither true nor false")
+            own[f.name] = told.strip().lower() in ("1", "true", "yes")
+        else:
+            own[f.name] = type(f.default)(told)
+    return kind(**own)
 
 
 @dataclass(frozen=True)

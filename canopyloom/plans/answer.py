@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, MutableMapping, Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyloom.functions import text as t
-from canopyloom.operators import fusion, retrieve, search
+from canopyloom.operators import fusion, providers, retrieve, search
 from canopyloom.params import MacroParams, MicroParams
 
 MODES = ("micro", "macro")
@@ -31,13 +31,13 @@ class Expansion:
     error: str | None = None
 
 
-def expand_query(query: str, translate: Callable[[str], str] | None, cache: dict | None = None, enabled: bool = True) -> Expansion:
+def expand_query(query: str, translate: Callable[[str], str] | None, cache: MutableMapping | None = None, enabled: bool = True) -> Expansion:
     """The query with a model's keywords; the bare query if the model fails. Only successes are cached."""
     import hashlib
 
     key = hashlib.sha256(f"{query}:{enabled}".encode()).hexdigest()
     if cache is not None and key in cache:
-        return cache[key]
+        return Expansion(**cache[key])
     if translate is None:
         return Expansion(query, [], query)
     try:
@@ -46,10 +46,19 @@ def expand_query(query: str, translate: Callable[[str], str] | None, cache: dict
         return Expansion(query, [], query, f"{type(e).__name__}: {e}")
     out = Expansion(query, words, f"{query} {' '.join(words)}" if enabled and words else query)
     if cache is not None:
-        cache[key] = out
+        cache[key] = asdict(out)
     return out
 
 
+#: Our own wording of the request for search words.
+TRANSLATION = "Give up to eight search words of the corpus's own period and language for this question, separated by spaces, and nothing else.\n\n{query}"
+
+
+def translator(generate: Callable[[str], str]) -> Callable[[str], str]:
+    """A query's search words by a text provider."""
+    return lambda query: generate(TRANSLATION.format(query=query))
+
+
 def retriever(mode: str) -> Callable[..., DataFrame]:
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
@@ -98,10 +107,10 @@ def prompt(context: str, query: str, mode: str, templates: dict[str, str] = PROM
     return BOUNDARY + templates[mode.lower()].format(context=context, query=query) + VERBATIM
 
 
-def answer(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query: str, vector: Sequence[float], mode: str = "micro", params: MicroParams | MacroParams | None = None, generate: Callable[[str], str] | None = None, translate: Callable[[str], str] | None = None, cache: dict | None = None) -> dict:
+def answer(units: DataFrame, reports: DataFrame, edges: DataFrame | None, query: str, vector: Sequence[float], mode: str = "micro", params: MicroParams | MacroParams | None = None, generate: Callable[[str], str] | None = None, translate: Callable[[str], str] | None = None, cache: MutableMapping | None = None, expansion: Expansion | None = None) -> dict:
     """A query's answer with its context and counts. units: id, text, path, community_id, vector, and what ``process`` reads."""
     params = params or (MicroParams() if mode == "micro" else MacroParams())
-    expansion = expand_query(query, translate, cache)
+    expansion = expansion or expand_query(query, translate, cache)
     found = process(retriever(mode)(units, reports, edges, vector, params), units, vector)
     entries, rendered = fuse(found, units, mode, query=query, budget=params.budget)
     context = rendered.first()["context"]  # a budget's worth of characters
@@ -129,3 +138,10 @@ def batch_prompts(contexts: DataFrame, mode: str) -> DataFrame:
     head, tail = prompt("\0", "\1", mode).split("\0")
     middle, end = tail.split("\1")
     return contexts.select("id", F.concat(F.lit(head), "context", F.lit(middle), "query", F.lit(end)).alias("prompt"))
+
+
+def generate_all(contexts: DataFrame, mode: str, provider: Callable[[str], str], limits: providers.Limits = providers.Limits(), budget: int = 32_000) -> DataFrame:
+    """(id, context, query) to (id, answer, error); a context beyond the budget isn't sent and becomes an error."""
+    fits = F.coalesce(F.length("context") <= budget, F.lit(False))
+    sent = providers.call(batch_prompts(contexts.filter(fits), mode), provider, limits)
+    return sent.union(contexts.filter(~fits).select("id", F.lit(None).cast("string"), F.lit(f"no context of at most {budget} characters")))

@@ -15,8 +15,8 @@ from canopyloom.functions import filters
 from canopyloom.functions import text as t
 from canopyloom.functions import vectors as v
 from canopyloom.operators import fusion, graph, hierarchy, reports, retrieve, search
-from canopyloom.params import GraphParams, MacroParams, MicroParams
-from canopyloom.plans import answer
+from canopyloom.params import GraphParams, MacroParams, MicroParams, ReportParams
+from canopyloom.plans import answer, build
 from canopyloom.sources import io, views
 from canopyloom.storage import cut
 
@@ -671,6 +671,29 @@ def root_contexts(s, d):
     return reports.root_context(views.communities(s, d), views.reports(s, d)).select("community_id", F.md5("context").alias("context"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+def _prompt_sql(name: str) -> str:
+    """A report prompt as SQL over title and context."""
+    return "'" + build.PROMPTS[name].replace("{title}", "' || title || '").replace("{context}", "' || context || '") + "'"
+
+
+_ASK = f"md5(CASE WHEN coalesce(n, 0) < 200 THEN {_prompt_sql('sparse')} ELSE {_prompt_sql('standard')} END)"
+
+
+@query(f""", parts AS (
+  SELECT c.id, CAST(u.doc_id AS VARCHAR) AS k, u.text FROM units u JOIN comm c ON c.id = u.community_id WHERE c.is_leaf AND c.level > 0
+  UNION ALL SELECT p.id, CAST(u.doc_id AS VARCHAR), '【小类：' || c.title || '】' || u.text FROM units u JOIN comm c ON c.id = u.community_id JOIN comm p ON p.id = c.parent_id WHERE p.level > 0),
+ctx AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY k) AS context, sum(length(text)) AS n FROM parts GROUP BY 1),
+low AS (SELECT id, level, parent_id, {_ASK} AS summary FROM (SELECT c.id, c.level, c.parent_id, c.title, coalesce(context, '无内容') AS context, n FROM comm c LEFT JOIN ctx USING (id) WHERE c.level > 0)),
+top AS (SELECT id, level, {_ASK} AS summary FROM (
+  SELECT c.id, c.level, any_value(c.title) AS title, coalesce(string_agg('【T】: ' || l.summary, chr(10) || chr(10) ORDER BY l.id), '无内容') AS context, sum(length('【T】: ' || l.summary)) AS n
+  FROM comm c LEFT JOIN low l ON l.parent_id = c.id AND l.level = 1 WHERE c.level = 0 GROUP BY 1, 2))
+SELECT id AS community_id, 'T' AS title, CAST(level AS INT) AS level, summary FROM low UNION ALL SELECT id, 'T', CAST(level AS INT), summary FROM top""")
+def report_build(s, d):
+    """All reports bottom-up by a stand-in model that tells its prompt's md5; contexts whole, in one bin each."""
+    whole = ReportParams(single_bin=1 << 60)
+    return build.build_reports(views.units(s, d), views.communities(s, d), reports.stub_model, p=whole).select("community_id", "title", "level", "summary")
+
+
 @query(", x AS (SELECT 1) SELECT u.doc_id FROM units u WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def resume_pending(s, d):
     done = s.read.parquet(f"{d}/labels.parquet")

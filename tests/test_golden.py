@@ -153,17 +153,8 @@ def test_prune_equals_sequential_search(spark, seed):
 def test_json_repair():
     assert reports.repair_json('```json\n{"a": 1,}\n```') == {"a": 1}
     assert reports.repair_json("[{\"a\": 2}, 3]") == {"a": 2} and reports.repair_json("[]") == {} and reports.repair_json("none") == {}
-
-
-def test_provider_errors_become_rows(spark):
-    def model(prompt: str) -> str:
-        if prompt == "bad":
-            raise ValueError("no")
-        return prompt.upper()
-
-    rows = spark.createDataFrame([("1", "ok"), ("2", "bad")], "id string, prompt string")
-    got = {r["id"]: (r["answer"], r["error"]) for r in reports.call_provider(rows, model).collect()}
-    assert got == {"1": ("OK", None), "2": (None, "ValueError: no")}
+    assert reports.repair_json('Sure: {"a": "x, }", "b": [1, {"c": "d') == {"a": "x, }", "b": [1, {"c": "d"}]}
+    assert reports.repair_json('{"a": "line\nfeed \\" quote"} and {"b": 2}') == {"a": 'line\nfeed " quote'} and reports.repair_json("{broken") == {} and reports.repair_json(None) == {}
 
 
 def test_answer_parts():
