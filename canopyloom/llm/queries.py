@@ -81,10 +81,34 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS g FROM w
+), x AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)
+), e AS (
+  SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS id, doc_id AS label FROM documents
+  UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id
+), c AS (
+  SELECT id, min(label) AS label FROM r GROUP BY id
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.label AS component_id, s.doc_id = c.label AS kept FROM s JOIN c ON c.id = s.doc_id
+"""
+
+
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nndescent.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_quality, op4_token_counts, op5_packing, op6_decontamination, op7_main_text, op8_wavelet, op9_minhash, op10_nn_descent)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op9_minhash": OP9_SQL}
