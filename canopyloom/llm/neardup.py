@@ -39,7 +39,7 @@ from canopyloom.storage import cut, drop, small_side
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 TRIES = 256
-#: Sets of up to so many shingles are compared whole where a signature is too coarse for them.
+#: Sets of up to so many shingles have no signature, which is too coarse for them: they are compared whole.
 FEW = 300
 #: Standard deviations below the threshold at which a signature still passes.
 SIGMAS = 6
@@ -105,7 +105,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int, few: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, and for comparisons either few (32 bits a shingle, small sets) or sig (16 bits a bin)."""
+    """doc_id, n_shingles, set_key (null for an empty set), bands, and for comparisons few (32 bits a shingle, up to ``few`` shingles) and sig (16 bits a bin, above ``FEW``); sets between the two sizes meet both kinds and have both."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, few binary"
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,8 +117,9 @@ def sketch(docs: DataFrame, shingle: int, few: int) -> DataFrame:
                 s = shingle_set(t, shingle)
                 if len(s):
                     sig = signature(s)
-                    short = len(s) <= few
-                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), None if short else mix(sig).astype(np.uint16).tobytes(), (s >> np.uint64(32)).astype(np.uint32).tobytes() if short else None))
+                    coarse = mix(sig).astype(np.uint16).tobytes() if len(s) > FEW else None
+                    whole = (s >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) <= few else None
+                    rows.append((len(s), xxh3_128_digest(s.tobytes()), bands(sig), coarse, whole))
                 else:
                     rows.append((0, None, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sig", "few"])
@@ -242,8 +243,8 @@ def overlaps(own: list[bytes], every: list[bytes], most: int = 1 << 23) -> np.nd
 def alike(own: np.ndarray, every: np.ndarray, open_: np.ndarray, n: np.ndarray, sig: np.ndarray, few: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of ``open_`` (booleans, own x every) may reach the threshold. own, every: positions in n, sig and few.
 
-    Sizes must allow it. Small sets are compared whole. Of others the signatures must
-    agree in all but ``SIGMAS`` standard deviations of the threshold's bins; of pairs
+    Sizes must allow it. Two small sets are compared whole. Of others, also of a small
+    and a large one, the signatures must agree in all but ``SIGMAS`` standard deviations of the threshold's bins; of pairs
     right at 80 % about 1 in 10 million (binomial tail) falls below that, as many as
     share no bucket at all.
     """
@@ -257,12 +258,13 @@ def alike(own: np.ndarray, every: np.ndarray, open_: np.ndarray, n: np.ndarray,
         both = overlaps(few[own[i]].tolist(), few[every[j]].tolist())
         total = x[i][:, None] + y[j][None] - both
         out[np.ix_(i, j)] = 100 * (both + 1) >= percent * (total - 1)  # one shingle of tolerance for shortened hashes
-    large, large_too = np.flatnonzero(~small & open_.any(1)), np.flatnonzero(~small_too)
-    if len(large) and len(large_too):
+    coarse = open_ & ~(small[:, None] & small_too)
+    large, large_too = np.flatnonzero(coarse.any(1)), np.flatnonzero(coarse.any(0))
+    if len(large):
         a, b = (np.frombuffer(b"".join(sig[k]), np.uint16).reshape(len(k), BINS) for k in (own[large], every[large_too]))
         share = percent / 100
         for k, row in zip(large, a, strict=True):
-            to = np.flatnonzero(open_[k, large_too])
+            to = np.flatnonzero(coarse[k, large_too])
             least = share - SIGMAS * np.sqrt(share * (1 - share) / np.minimum(BINS, np.minimum(y[large_too[to]], x[k])))
             out[k, large_too[to]] = (b[to] == row).mean(1) >= least
     return out & open_
@@ -352,7 +354,7 @@ def near_duplicates(
 
 def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``near_duplicates`` of (doc_id, text), where no id but null stands in several rows."""
-    few = -(-FEW * 100 // percent)  # so that a set without ``few`` can't reach one of up to FEW
+    few = -(-FEW * 100 // percent)  # so that a set without ``few`` can't reach one without ``sig``
     sketched = cut(sketch(docs, shingle, few), "sketch")
     classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
     reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(classes.select("id"), "id", "left_semi")

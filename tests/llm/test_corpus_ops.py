@@ -371,6 +371,19 @@ def test_buckets_in_small_blocks_give_the_same_links(spark):
         neardup.across.__defaults__ = old
 
 
+def test_a_small_and_a_large_set_are_compared(spark):
+    docs = []
+    for c in range(5):
+        w = lambda name, n: [f"{name}{c}x{k}" for k in range(n)]
+        for i in range(20):  # sets of 343 and of 403 shingles, alike within a size; across sizes one pair only, of which neither is a centre
+            own = w("own", 8) if i == 7 else []
+            docs.append((len(docs), " ".join(w("all", 330) + own + w(f"s{i}y", 16 - len(own)))))
+            docs.append((len(docs), " ".join(w("all", 330) + own + w(f"l{i}y", 16 - len(own)) + w("more", 60))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(df, shingle=4).collect()}
+    assert got == brute_components(docs, 4, 80) and {n for n, _ in got.values()} == {343, 403}
+
+
 def test_rows_that_share_an_id_but_not_the_text(spark):
     a, b, c = (" ".join(f"{n}{i}" for i in range(30)) for n in "abc")
     rows = [(1, a), (2, a), (2, b), (3, b), (4, a), (4, ""), (5, c), (5, c), (6, c + " x"), (2, c), (None, a), (None, None)]
