@@ -91,15 +91,25 @@ def score_texts(texts, model: Model, squeeze: list) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights (the constant first) by Newton's method."""
+    """Weights (the constant first) by Newton's method; a step is halved until it lowers the loss, as whole ones diverge where classes separate."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+
+    now = loss(w)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge * w
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        slope, size = float(gradient @ step), 1.0
+        while loss(w - size * step) > now - 1e-4 * size * slope and size > 1e-9:
+            size /= 2
+        w = w - size * step
+        now = loss(w)
+        if size * np.abs(step).max() < 1e-6:
             break
     return w
 

@@ -308,6 +308,19 @@ def brute_components(docs, k, percent):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
+def test_the_calibration_converges():
+    r = np.random.default_rng(26)  # whole Newton steps diverge here
+    y = (np.arange(300) % 2).astype(float)
+    a = r.standard_t(1, (300, 4)) * 0.3 + np.where(y, 1, -1)[:, None] * [1, 0.9, 0.8, 0]
+    x = np.stack([*a.T, *(a[:, i] * a[:, j] for i in range(4) for j in range(i, 4))], 1)
+    x = (x - x.mean(0)) / x.std(0)
+    weight = np.where(y, 9.5, 0.5)
+    w = quality.logistic(x, y, weight, ridge=0.1)
+    x = np.concatenate([np.ones((300, 1)), x], 1)
+    gradient = x.T @ (weight * (1 / (1 + np.exp(-(x @ w))) - y)) + 0.1 * w
+    assert np.abs(w).max() < 20 and np.abs(gradient).max() < 1e-3
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(500)]
