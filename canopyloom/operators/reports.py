@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,33 @@ def bins(lengths: Column, p: ReportParams = ReportParams()) -> Column:
 
 
 def packed(units: DataFrame, group: str, order: str, length: Column, p: ReportParams = ReportParams()) -> DataFrame:
-    """(group, order, n, bin): units of each group with their bin; only orders and lengths are gathered, not texts."""
-    rows = units.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), length.cast("int").alias("n")))).alias("u"))
-    rows = rows.withColumn("b", bins(F.transform("u", lambda x: x["n"]), p)).select(group, F.explode(F.arrays_zip("u", "b")).alias("z"))
-    return rows.select(group, F.col("z.u.k").alias(order), F.col("z.u.n").alias("n"), F.col("z.b").alias("bin"))
+    """(group, order, n, bin): units of each group with their bin.
+
+    The same bins as ``bins`` gives, in one pass over a group's sorted rows, of which
+    a task holds one batch and the open bin; only orders and lengths are moved, not texts.
+    """
+    rows = units.select(F.col(group).alias("g"), F.col(order).alias("k"), length.cast("int").alias("n"))
+    totals = rows.groupBy(F.col("g").alias("tg")).agg(F.sum("n").alias("total"))
+    limit = F.when(F.col("total") > p.single_bin, F.col("total") / F.ceil(F.col("total") / p.target) * p.slack)
+    sized = rows.join(totals.select("tg", limit.alias("limit")), F.col("g").eqNullSafe(F.col("tg"))).select("g", "k", "n", "limit")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, bin_, cur = None, 0, 0
+        for b in batches:
+            out = np.zeros(len(b), np.int32)
+            names = b["g"].to_numpy(object)
+            for i, (g, n, most) in enumerate(zip(names, b["n"].fillna(0).to_numpy(), b["limit"].to_numpy(float), strict=True)):
+                if last is None or last[0] != g:
+                    last, bin_, cur = (g,), 0, 0
+                if cur > 0 and cur + n > most:  # false without a limit, which is NaN
+                    bin_, cur = bin_ + 1, 0
+                cur += int(n)
+                out[i] = bin_
+            yield b[["g", "k", "n"]].assign(bin=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = sized.repartition("g").sortWithinPartitions("g", "k", "n")
+    return dealt.mapInPandas(fold, f"g {kinds['g']}, k {kinds['k']}, n int, bin int").select(F.col("g").alias(group), F.col("k").alias(order), "n", "bin")
 
 
 def dependencies(comm: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Small cases worked out by hand."""
 
 import random
-from collections import deque
+import time
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def test_fill_goes_on_to_later_communities(spark):
     assert [r["id"] for r in retrieve.fill(offers, comm, 1000).orderBy("seq").collect()] == ["u00", "u10", "u20"]
 
 
+def test_packed_groups_equal_next_fit_in_linear_time(spark):
+    r = random.Random(5)
+    own = [(g, k, r.choice([0, 5, 900, 4000, 13_000])) for g, n in (("a", 60_000), ("b", 3), (None, 40), ("", 300)) for k in range(n)]
+    want = []
+    for name in ("a", "b", None, ""):
+        rows = [x for x in own if x[0] == name]
+        total = sum(n for *_, n in rows)
+        limit = total / -(-total // 12_000) * 1.1 if total > 15_000 else float("inf")
+        at = cur = 0
+        for g, k, n in rows:
+            at, cur = (at + 1, n) if cur > 0 and cur + n > limit else (at, cur + n)
+            want.append((g, k, n, at))
+    r.shuffle(own)
+    start = time.monotonic()
+    got = reports.packed(spark.createDataFrame(own, "g string, k long, n int"), "g", "k", F.col("n")).collect()
+    assert Counter(map(tuple, got)) == Counter(want) and time.monotonic() - start < 40
+
+
 @pytest.mark.parametrize("lengths,want", [([7000, 8000], [0, 0]), ([20000], [0]), ([9000] * 3, [0, 1, 2]), ([6000] * 5, [0, 1, 2, 3, 4])])
 def test_bins(spark, lengths, want):
     df = spark.createDataFrame([(lengths,)], "n array<int>")
