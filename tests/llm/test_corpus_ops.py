@@ -384,6 +384,22 @@ def test_buckets_in_small_blocks_give_the_same_links(spark):
         neardup.across.__defaults__ = old
 
 
+def test_confirming_takes_little_memory_outside_the_heap(spark):
+    words = [f"w{i}" for i in range(9000)]
+    # 1, 2: 1800 of 2200 shingles in common, 81 %; 1, 3: 1700 of 2300, 73 %; 5: another text
+    docs = [(i, " ".join(words[k : k + 2000])) for i, k in ((1, 0), (2, 200), (3, 300), (4, 0), (5, 6000))]
+    docs = spark.createDataFrame([*docs, (6, "a b"), (7, "a b"), (8, "b a"), (9, "")], "doc_id long, text string")
+    sets = neardup.cut(neardup.sets_of(docs, docs.select(F.col("doc_id").alias("id")), 1, most=2500))
+    assert {r["id"]: len(r["set"]) for r in sets.collect()} == {1: 2000, 2: 2000, 3: 2000, 4: 2000, 5: 2000, 6: 2, 7: 2, 8: 2, 9: 0}
+    pairs = [(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (5, 6), (6, 7), (7, 8)]
+    edges = neardup.cut(spark.createDataFrame(pairs * 800, "a long, b long").coalesce(1))
+    arrow = spark._jvm.org.apache.spark.sql.util.ArrowUtils.rootAllocator()
+    before = arrow.getPeakMemoryAllocation()
+    got = neardup.confirm(edges, sets, 80).groupBy("a", "b").count().collect()
+    assert {tuple(r) for r in got} == {(*p, 800) for p in pairs if p not in ((1, 3), (1, 5), (5, 6))}
+    assert arrow.getPeakMemoryAllocation() < before + (16 << 20)
+
+
 def test_a_small_and_a_large_set_are_compared(spark):
     docs = []
     for c in range(5):
