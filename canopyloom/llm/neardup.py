@@ -14,7 +14,8 @@
    in buckets that still hold several components, members outside the largest one are
    compared with all members of other components, in bounded blocks: each pair in the
    first bucket that it shares, small sets whole and others by signature, which loses
-   few pairs (see ``alike``). What may reach the threshold is confirmed on full sets too.
+   few pairs (see ``alike``). What may reach the threshold is confirmed on full sets
+   too: first a forest of each task's pairs, then those that it hasn't joined.
 
 Rules: words are runs of characters other than space and U+0009 to U+000D, A-Z in
 lower case. With fewer words than a shingle has, the whole sequence is the one
@@ -97,16 +98,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
+    """32 bits for each band: among 10 million sets chance adds 1 in 400 to a bucket, which the sizes and the confirmation take out."""
     rows = sig.reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
         out = mix(out + rows[:, i])
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sketch(docs: DataFrame, shingle: int, few: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), bands, and for comparisons few (32 bits a shingle, up to ``few`` shingles) and sig (16 bits a bin, above ``FEW``); sets between the two sizes meet both kinds and have both."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, few binary"
+    schema = "doc_id long, n_shingles long, set_key binary, bands array<int>, sig binary, few binary"
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -268,13 +270,30 @@ def alike(own: np.ndarray, every: np.ndarray, open_: np.ndarray, n: np.ndarray,
     return out & open_
 
 
-def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 300, tasks: int = 64) -> DataFrame:
+def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which edges (x, y), taken in turn, join two parts that weren't joined before."""
+    names, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+    root, out = list(range(len(names))), np.zeros(len(x), bool)
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for i, (a, b) in enumerate(both.reshape(2, -1).T.tolist()):
+        a, b = top(a), top(b)
+        root[a], out[i] = b, a != b
+    return out
+
+
+def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, block: int = 300, tasks: int = 64, *, marked: bool = False) -> DataFrame:
     """Candidate edges (a < b) between different components of a bucket, in blocks.
 
     The members of a bucket are dealt once over blocks of about ``block``. Those
     outside the bucket's largest component meet every block, so rows are copied in
     proportion to them alone, and a task holds two blocks. A pair is compared in the
-    first band whose bucket it shares. sigs: (id, n, bands, sig, few).
+    first band whose bucket it shares. sigs: (id, n, bands, sig, few). marked: with
+    tree, true for a forest of each task's edges that joins the same components as all of them.
     """
     members = rows.select("band", "hash", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members, "members")
@@ -301,7 +320,7 @@ def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, bl
         sig, few = group["sig"].to_numpy(object), group["few"].to_numpy(object)
         marks = group["hash"].to_numpy()
         turns = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (band[1:] != band[:-1]), [True]]))
-        found = [np.empty((2, 0), np.int64)]
+        found = [np.empty((4, 0), np.int64)]
         for lo, hi in zip(turns[:-1], turns[1:], strict=True):
             own, every = lo + np.flatnonzero(is_own[lo:hi]), lo + np.flatnonzero(~is_own[lo:hi])
             # two that are both outside meet twice: the smaller id's turn counts
@@ -312,13 +331,21 @@ def across(rows: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, bl
                     open_[k, to] = (keys[every[to], : band[lo]] != keys[own[k], : band[lo]]).all(1)
             if open_.any():
                 i, j = np.nonzero(alike(own, every, open_, n, sig, few, percent))
-                found.append(np.stack([ids[own[i]], ids[every[j]]]))
-        a, b = np.concatenate(found, 1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                found.append(np.stack([ids[own[i]], ids[every[j]], label[own[i]], label[every[j]]]))
+        a, b, *ends = np.concatenate(found, 1)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": forest(*ends)})
+        return out.groupby(["a", "b"], as_index=False)["tree"].max()
 
-    out = cut(both.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "across")
+    out = cut(both.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, tree boolean").groupBy("a", "b").agg(F.max("tree").alias("tree")), "across")
     drop(members, mixed, ids)
-    return out
+    return out if marked else out.select("a", "b")
+
+
+def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (a, b) of ``edges`` whose ends have different labels; an id without one is its own."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    ends = edges.join(a, "a", "left").join(b, "b", "left")
+    return ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def linked(docs: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -354,23 +381,28 @@ def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``near_duplicates`` of (doc_id, text), where no id but null stands in several rows."""
     few = -(-FEW * 100 // percent)  # so that a set without ``few`` can't reach one without ``sig``
     sketched = cut(sketch(docs, shingle, few), "sketch")
-    classes = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(classes.select("id"), "id", "left_semi")
+    # a class's bands come along: a join for them would shuffle all bands, for each use once more
+    least = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")).alias("c")
+    reps = cut(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(least).select("set_key", "c.*"), "reps")
+    classes = reps.select("set_key", "id")
     rows = buckets_of(reps.select("id", "n", F.posexplode("bands").alias("band", "hash")))
     candidates = cut(stars(rows, percent), "candidates")
     first = linked(docs, candidates, shingle, percent)
     labels = components(first)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = across(rows, labels, sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few"), percent, tasks=tasks)
+    rest = across(rows, labels, sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig", "few"), percent, tasks=tasks, marked=True)
     drop(candidates, rows)
-    if not rest.isEmpty():
-        more = linked(docs, rest, shingle, percent)
-        if not more.isEmpty():
-            links = cut(first.union(more), "links")
-            drop(labels)
-            labels = components(links)
-            drop(links)
-        drop(more)
+    # the pairs of a group of k are about k * k / 2, but k - 1 confirmed links join it: others count only where those failed
+    for tree in (True, False):
+        some = cut(apart(rest.filter(F.col("tree") == tree), labels), "apart")
+        if not some.isEmpty():
+            more = linked(docs, some, shingle, percent)
+            if not more.isEmpty():
+                links = cut(first.union(more), "links")
+                drop(labels, first)
+                first, labels = links, components(links)
+            drop(more)
+        drop(some)
     drop(rest, first)
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("rep"))
     out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")

@@ -400,6 +400,39 @@ def test_confirming_takes_little_memory_outside_the_heap(spark):
     assert arrow.getPeakMemoryAllocation() < before + (16 << 20)
 
 
+def test_a_group_is_joined_by_few_confirmed_pairs(spark, monkeypatch):
+    # m and each of 30 edited copies of it share 90 %, two of the copies with each other 81 %
+    base = [f"w{i}" for i in range(200)]
+    docs = [(0, base)] + [(k, base[:10 * (k - 1) // 2] + [f"x{k}.{j}" for j in range(10)] + base[10 * (k - 1) // 2 + 10 :]) for k in range(1, 31)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string").repartition(3)
+    asked, plain = [], neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda docs, edges, *a: asked.append(edges.count()) or plain(docs, edges, *a))
+    # no star finds anything, so each document is a component when members of buckets are compared
+    monkeypatch.setattr(neardup, "stars", lambda rows, percent: rows.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, shingle=1).collect()}
+    assert got == dict.fromkeys(range(31), 0)
+    assert sum(asked) < 100, asked  # of 465 pairs
+
+
+def test_a_forest_joins_what_all_edges_join():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 60, (2, 400)) * 10**9 + np.array([[0], [7]])
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    tree = neardup.forest(x, y)
+
+    def parts(x, y):
+        label = {k: k for k in (*x.tolist(), *y.tolist())}
+        for _ in label:
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    whole, kept = parts(x, y), parts(x[tree], y[tree])
+    assert kept == {k: whole[k] for k in kept} and kept.keys() == whole.keys()
+    assert tree.sum() == len(whole) - len(set(whole.values()))
+    assert not len(neardup.forest(x[:0], y[:0]))
+
+
 def test_a_small_and_a_large_set_are_compared(spark):
     docs = []
     for c in range(5):
