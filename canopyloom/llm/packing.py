@@ -27,6 +27,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from canopyloom.llm.pieces import PieceEncoder
+
+#: Pieces that a worker remembers, and characters encoded at once. Workers stay for
+#: the stages that follow, beside the JVM, so what they hold on to is kept small.
+MEMO, CHARS = 300_000, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -128,6 +135,14 @@ class Packer:
         self.next_id += 1
 
 
+def coded(tokenizer: str, texts) -> tuple[PieceEncoder, Iterator[np.ndarray]]:
+    """The worker's encoder and, for one text after the other, an array of its ids."""
+    from canopyloom.llm.pieces import encoder
+
+    codec = encoder(tokenizer, MEMO)
+    return codec, codec.stream(texts, CHARS, lean=True)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -145,12 +160,9 @@ def pack(
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from canopyloom.llm.pieces import arrow, columns, encoder
+        from canopyloom.llm.pieces import arrow, columns
 
-        codec = encoder(tokenizer)
-        wide = codec.dtype if end_id <= np.iinfo(codec.dtype).max else np.dtype("<u4")
-        packer = Packer(window, max_slack, pool_tokens, TaskContext.get().partitionId() << 32)
-        end, rows = np.array([end_id], wide), []
+        packer, rows = Packer(window, max_slack, pool_tokens, TaskContext.get().partitionId() << 32), []
         keys: deque = deque()
 
         def texts():
@@ -162,7 +174,9 @@ def pack(
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             return arrow(out.astype({"doc_id": "Int64"}), SCHEMA)
 
-        for ids in codec.stream(texts()):
+        codec, stream = coded(tokenizer, texts())
+        end = np.array([end_id], codec.dtype if end_id <= np.iinfo(codec.dtype).max else np.dtype("<u4"))
+        for ids in stream:
             for sequence in packer.add(keys.popleft(), np.concatenate([ids, end])):
                 rows += packer.rows(sequence)
             if len(rows) > 20_000:

@@ -137,8 +137,11 @@ class PieceEncoder:
         """The ids of every text as bytes; null and empty texts have none."""
         return [x.tobytes() for x in self.stream(texts)]
 
-    def stream(self, texts, chars: int = 4 << 20):
-        """An array of ids for one text after the other; memory is bounded by the longest text and ``chars``."""
+    def stream(self, texts, chars: int = 4 << 20, lean: bool = False):
+        """An array of ids for one text after the other; memory is bounded by the longest text and ``chars``.
+
+        lean: Arrow's memory pool, which else keeps the pages of past blocks, hands them back after each.
+        """
         block, held = [], 0
         for t in texts:
             block.append(t or "")
@@ -146,7 +149,11 @@ class PieceEncoder:
             if held >= chars:
                 yield from self._block(block)
                 block, held = [], 0
+                if lean:
+                    pa.default_memory_pool().release_unused()
         yield from self._block(block)
+        if lean:
+            pa.default_memory_pool().release_unused()
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.store.index) > self.most:
@@ -251,9 +258,9 @@ class PieceEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = MOST) -> PieceEncoder:
     """One encoder a worker process: its memo outlives the tasks, its size stays bounded."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, most)
 
 
 def columns(batches, rows: int = 256):
